@@ -82,7 +82,7 @@ class Allocation:
     RATIO = 1.3
     #: Sets of a band that have some text in common with a set, by how much they do (as a share of shingles);
     #: each chance meeting with one of them costs as much as a signature.
-    CHANCE, COMMON = 6_000.0, 0.15
+    CHANCE, COMMON = 1_000.0, 0.15
 
     def __init__(self, percent: int):
         self.percent = percent
