@@ -9,8 +9,10 @@ position; in a unigram model it is the path of the highest score. Both give the
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,10 @@ class PieceModel:
         self.id = {p: i for i, p in enumerate(self.pieces) if kinds[i] in (self.NORMAL, self.USER)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if kinds[i] == self.BYTE}
         self.unknown = kinds.index(self.UNKNOWN)
-        self.kinds = kinds
+        self.shown = [
+            chr(0xD800 + int(p[3:5], 16)) if k == self.BYTE else "" if k == self.CONTROL else " ⁇ " if k == self.UNKNOWN else p.replace(SPACE, " ")
+            for p, k in zip(self.pieces, kinds, strict=True)
+        ]
         self.longest = max(map(len, self.id))
         #: Neighbouring characters that some piece holds; between all others every path has a boundary.
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
@@ -61,32 +66,59 @@ class StreamingViterbi:
 
     #: Entries in each generation of kept results: bounds a worker's memory.
     KEPT = 250_000
+    KEPT_PAIRS = 400_000
 
     def __init__(self, model: PieceModel):
         self.m = model
         self.memo: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.merges: dict[tuple[str, str], bool] = {}
+        self.cutter = self._cutter()
+        #: Pieces that their own merges make: only those can stand in an encoding of type BPE.
+        self.order = {p: i for i, p in enumerate(sorted((p for p in model.id if len(p) > 1), key=lambda p: -model.score[p]))}
+        self.children: dict[str, tuple[str, str]] = {}
+        for p in self.order if model.bpe else ():
+            parts, last = self._merged(p)
+            if len(parts) == 1 and last:
+                self.children[p] = last
+        self.whole = frozenset(model.id if not model.bpe else [*self.children, *(p for p in model.id if len(p) == 1)])
 
     def _apart(self, left: str, right: str) -> bool:
-        """True if the merges of left + right, in order of score, leave left and right as they are."""
-        got = self.merges.get((left, right))
-        if got is None:
-            if len(self.merges) >= self.KEPT:
-                self.merges.clear()
-            got = self.merges[left, right] = self._merged(left + right) == [left, right]
-        return got
+        """True if the merges of left + right leave both as they are: two pieces that their own merges make.
+
+        Undoes their merges, the last one first. If at any time the neighbours at the seam could have merged
+        before the merge just undone (or as early, and further left), they would have.
+        """
+        if len(self.merges) >= self.KEPT_PAIRS:
+            self.merges.clear()
+        order, children = self.order, self.children
+        a, b, limit, apart = left, right, len(order), True
+        while True:
+            joined = order.get(a + b)
+            if joined is not None and joined < limit:
+                apart = False
+                break
+            x, y = order.get(a, -1) if len(a) > 1 else -1, order.get(b, -1) if len(b) > 1 else -1
+            if x > y:
+                limit, a = x, children[a][1]
+            elif y >= 0:
+                limit, b = y + 1, children[b][0]
+            else:
+                break
+        self.merges[left, right] = apart
+        return apart
 
-    def _merged(self, s: str) -> list[str]:
-        """The merges of one short string, best score first and leftmost first among equals."""
-        score, parts = self.m.score, list(s)
+    def _merged(self, s: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The merges of one short string, best score first and leftmost first among equals; and the last of them."""
+        order, parts, last = self.order, list(s), None
         while len(parts) > 1:
-            best = max(((score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score), default=None)
+            best = min(((order[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in order), default=None)
             if best is None:
                 break
-            i = -best[1]
+            i = best[1]
+            last = parts[i], parts[i + 1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        return parts, last
 
     def _ids(self, piece: str) -> tuple[int, ...]:
         if piece in self.m.id:
@@ -110,7 +142,7 @@ class StreamingViterbi:
                     continue
                 last, total = back[end - size]
                 if m.bpe:
-                    if (size == 1 or self._apart_alone(piece)) and (last == 0 or self._apart(s[end - size - last : end - size], piece)):
+                    if (size == 1 or piece in self.whole) and (last == 0 or self._apart(s[end - size - last : end - size], piece)):
                         best = (size, 0.0)
                         break
                 else:
@@ -130,11 +162,38 @@ class StreamingViterbi:
                 back = {e: v for e, v in back.items() if e >= done}
         yield from self._path(s, back, done, len(s))
 
-    def _apart_alone(self, piece: str) -> bool:
-        got = self.merges.get((piece, ""))
-        if got is None:
-            got = self.merges[piece, ""] = self._merged(piece) == [piece]
-        return got
+    def _short(self, s: str) -> tuple[int, ...]:
+        """The ids of a stretch within one window, where nothing can be committed before its end (type BPE).
+
+        Backpointers are found from the end, so positions that no path from there needs are never looked at.
+        """
+        known, whole, merges, longest, apart = self.m.id, self.whole, self.merges, self.m.longest, self._apart
+        last = [0] * (len(s) + 1)
+
+        def back(end: int) -> int:
+            for begin in range(max(0, end - longest), end):
+                piece = s[begin:end]
+                if piece in whole or end - begin == 1:
+                    if begin:
+                        left = s[begin - (last[begin] or back(begin)) : begin]
+                        ok = merges.get((left, piece))
+                        if not (apart(left, piece) if ok is None else ok):
+                            continue
+                    last[end] = end - begin
+                    return end - begin
+            raise ValueError(f"no path through {s!r}")
+
+        out: list[int] = []
+        end = len(s)
+        while end:
+            begin = end - (last[end] or back(end))
+            i = known.get(s[begin:end])
+            if i is None:
+                out += self._ids(s[begin:end])[::-1]
+            else:
+                out.append(i)
+            end = begin
+        return tuple(out[::-1])
 
     @staticmethod
     def _converged(back: dict, alive: list[int], done: int) -> int:
@@ -157,12 +216,28 @@ class StreamingViterbi:
     def _chunk(self, s: str) -> tuple[int, ...]:
         got = self.old.get(s)
         if got is None:
-            got = tuple(i for ids in self.lattice(s) for i in ids)
+            parts = [s] if s[1:].isalpha() else self._parted(s)
+            if len(parts) > 1:
+                got = tuple(i for p in parts for i in self.memo.get(p) or self._chunk(p))
+            elif self.m.bpe and len(s) < 2 * self.m.longest:
+                got = self._short(s)
+            else:
+                got = tuple(i for ids in self.lattice(s) for i in ids)
         if len(self.memo) >= self.KEPT:
             self.memo, self.old = {}, self.memo
         self.memo[s] = got
         return got
 
+    def _parted(self, s: str) -> list[str]:
+        """A stretch cut between characters that no piece holds side by side: every path has a boundary there."""
+        inside, out, at = self.m.inside, [], 0
+        for i in range(1, len(s)):
+            if s[i - 1 : i + 1] not in inside:
+                out.append(s[at:i])
+                at = i
+        out.append(s[at:])
+        return out
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole raw text: stretches between boundaries that no piece crosses, each through the lattice."""
         out: list[int] = []
@@ -171,35 +246,35 @@ class StreamingViterbi:
             out += get(s) or chunk(s)
         return out
 
-    def cut(self, s: str) -> list[str]:
-        import re
+    def _cutter(self) -> re.Pattern | None:
+        """What finds the stretches: no piece has a space after another character, so a run of spaces begins one."""
+        if any(p[1] == SPACE and p[0] != SPACE for p in self.m.inside):
+            return None
+        if any("\n" in p for p in self.m.inside):
+            return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        return re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}*\n|{SPACE}+")
 
-        if not hasattr(self, "cutter"):
-            joined = {p for p in self.m.inside if p[1] == SPACE and p[0] != SPACE}
-            # with no piece that has a space after another character, a run of spaces begins a stretch
-            self.cutter = None if joined else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}*\n|{SPACE}+") if not any("\n" in p for p in self.m.inside) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    def cut(self, s: str) -> list[str]:
         return self.cutter.findall(s) if self.cutter else [s]
 
 
+@lru_cache(maxsize=2)
+def coder(path: str) -> StreamingViterbi:
+    """One coder per worker process: its kept stretches serve all tasks of the worker."""
+    return StreamingViterbi(PieceModel(path))
+
+
+#: Stand-ins of byte ids while pieces are joined: lone surrogates, which no text can hold.
+_BYTES = re.compile("[\ud800-\ud8ff]+")
+
+
+def _as_text(m: re.Match) -> str:
+    return bytes(ord(c) - 0xD800 for c in m[0]).decode("utf-8", "replace")
+
+
 def decode(model: PieceModel, ids: Iterable[int]) -> str:
     """The text of ids: pieces with spaces put back, runs of byte ids as UTF-8, the space of the prefix taken off."""
-    out, raw = [], bytearray()
-
-    def flush():
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-
-    for i in ids:
-        kind = model.kinds[i]
-        if kind == model.BYTE:
-            raw.append(int(model.pieces[i][3:5], 16))
-            continue
-        flush()
-        if kind != model.CONTROL:
-            out.append(" ⁇ " if kind == model.UNKNOWN else model.pieces[i].replace(SPACE, " "))
-    flush()
-    text = "".join(out)
+    text = _BYTES.sub(_as_text, "".join(map(model.shown.__getitem__, ids)))
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
@@ -213,13 +288,13 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
     tuned(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(model_path)
-        coder = StreamingViterbi(model)
+        viterbi = coder(model_path)
+        model = viterbi.m
         for b in batches:
             n, crc, chars, same, kept = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 text = text or ""
-                ids = coder.encode(text)
+                ids = viterbi.encode(text)
                 n.append(len(ids))
                 crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
                 back = decode(model, ids)

@@ -20,7 +20,9 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -35,6 +37,8 @@ from rasterflow.llm.common import new_path, tuned
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
+#: The usual stand-ins of byte-level vocabularies: printable characters for themselves, the others from U+0100 on.
+BYTE_LEVEL = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512), strict=False))
 
 
 class Encoder:
@@ -58,30 +62,46 @@ class Encoder:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"not a known normalizer: {kinds}")
+        splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        if len(splits) != 1:
+            raise ValueError("not a known pre-tokenizer")
+        # the same classes in the ranges of `odd`, where letters are word characters besides digits and _
+        classes = {r"[\p{L}]": r"[^\W\d_]", r"[\p{N}]": r"\d", r"[^\s\p{L}\p{N}]": r"(?:[^\w\s]|_)"}
+        self.split = re.compile(re.sub(r"\[\^?(?:\\s)?(?:\\p\{[LN]\})+\]", lambda m: classes[m[0]], splits[0]))
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.odd = re.compile("[^\x00-\x1b\x20-ɏͰ-ͳΑ-Ρα-ωА-я‐-‧€]")
+        self.odd = re.compile("[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏͰ-ͳΑ-Ρα-ωА-я‐-‧€]")
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.type = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.end = np.array([END_ID], self.type).tobytes()
+        self.code = "H" if self.width == 2 else "I"
+        self.end = array(self.code, [END_ID]).tobytes()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _stretch(self, s: str) -> bytes:
         out = self.old.get(s)
         if out is None:
-            parts = self.tok.pre_tokenizer.pre_tokenize_str(s)
-            out = np.array([t.id for part, _ in parts for t in self.tok.model.tokenize(part)], self.type).tobytes()
-        if len(self.new) >= self.KEPT:
-            self.new, self.old = {}, self.new
+            parts = self.split.findall(s)
+            if not s.isascii():  # at byte level, printable ASCII characters are themselves
+                parts = [p.encode().decode("latin-1").translate(BYTE_LEVEL) for p in parts]
+            tokenize = self.tok.model.tokenize
+            out = array(self.code, [t.id for p in parts for t in tokenize(p)]).tobytes()
         self.new[s] = out
         return out
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text, end id included, as they stand in a frame."""
         if self.odd.search(text) or any(s in text for s in self.added) or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.type).tobytes() + self.end
+            return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes() + self.end
         get, stretch = self.new.get, self._stretch
-        return b"".join([get(s) or stretch(s) for s in text.lower().split()]) + self.end
+        out = b"".join([get(s) or stretch(s) for s in text.lower().split()]) + self.end
+        if len(self.new) >= self.KEPT:
+            self.new, self.old = {}, self.new
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process: its kept ids serve all tasks of the worker."""
+    return Encoder(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -157,7 +177,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str) -> list[dict]:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         fs, root = filesystem(out_dir)
         rows = (
             (i, encode(t or ""))
