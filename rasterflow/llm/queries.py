@@ -9,6 +9,7 @@ from rasterflow.llm import (
     chat_format,
     decontaminate,
     jaccard_join,
+    prefix_free,
     preference_ranking,
     quality_rules,
     secrets,
@@ -54,6 +55,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.removal_report(read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), PIECES)
 
@@ -62,7 +67,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_output, op2_decontamination, op3_ngram_jaccard, op4_quality_classifier, op5_secret_scan, op6_chat_formatting,
-        op7_quality_rules, op10_sentencepiece,
+        op7_quality_rules, op9_suffix_dedup, op10_sentencepiece,
     )
 }
 
