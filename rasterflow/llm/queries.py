@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterflow.llm import (
     chat_format,
+    compact_windows,
     decontaminate,
     jaccard_join,
     prefix_free,
@@ -55,6 +56,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(read(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.removal_report(read(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_output, op2_decontamination, op3_ngram_jaccard, op4_quality_classifier, op5_secret_scan, op6_chat_formatting,
-        op7_quality_rules, op9_suffix_dedup, op10_sentencepiece,
+        op7_quality_rules, op8_substring_dedup, op9_suffix_dedup, op10_sentencepiece,
     )
 }
 
