@@ -13,29 +13,19 @@ no link between components is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import components, materialize, tuned
+from rasterflow.llm.pair_search import bucket_rows, search, smallest
+from rasterflow.llm.pair_search import scramble as mixed
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-#: Signatures that a worker combines at once: bounds its memory.
-FLUSH_ROWS = 2_000_000
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of unsigned 64-bit integers."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -51,8 +41,10 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set: equal sets have equal names."""
+def fingerprint(s: np.ndarray) -> int | None:
+    """A signed 64-bit name of a set: equal sets have equal names; none for the empty set."""
+    if not len(s):
+        return None
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
@@ -167,99 +159,6 @@ class Allocation:
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """kind 0: one row per document (sig its id, node its set's name, size its shingles). kind 1: signatures.
-
-    Members of a bucket within one stretch of a task meet at its smallest node `local`; only that one is dealt
-    out by signature, so a bucket gives each task one row at most. key is what rows are dealt by.
-    """
-
-    def combined(sig: list, node: list) -> pa.RecordBatch:
-        s, v = np.concatenate(sig), np.concatenate(node)
-        order = np.lexsort((v, s))
-        s, v = s[order], v[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
-        s, v = s[new], v[new]
-        first = np.ones(len(s), bool)
-        first[1:] = s[1:] != s[:-1]
-        at = np.flatnonzero(first)
-        count = np.diff(np.append(at, len(s)))
-        local = np.repeat(v[at], count)
-        key = np.where(first, s, mixed((s ^ v).view(np.uint64)).view(np.int64))
-        return rows(key, s, v, local, np.repeat(count, count), np.ones(len(s), np.int8))
-
-    def rows(key, sig, node, local, size, kind) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "sig": pa.array(sig, pa.int64()), "node": pa.array(node, pa.int64()), "local": pa.array(local, pa.int64()), "size": pa.array(size, pa.int64()), "kind": pa.array(kind, pa.int8())})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allocation = Allocation(percent)
-        sig, node, held, done = [], [], 0, set()
-        for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            names, sizes = [], []
-            for text in b.column("text").to_pylist():
-                s = shingles(text, width)
-                sizes.append(len(s))
-                names.append(fingerprint(s) if len(s) else None)
-                if not len(s) or names[-1] in done:
-                    continue
-                done.add(names[-1])
-                sig.append(allocation.signatures(s))
-                node.append(np.full(len(sig[-1]), names[-1], np.int64))
-                held += len(sig[-1])
-            salt = [(n or 0) ^ (i or 0) * 0x9E3779B1 & 0x7FFFFFFF for n, i in zip(names, ids, strict=True)]
-            yield rows(salt, ids, names, names, sizes, np.zeros(len(ids), np.int8))
-            if held >= FLUSH_ROWS:
-                yield combined(sig, node)
-                sig, node, held, done = [], [], 0, set()
-        if held:
-            yield combined(sig, node)
-
-    schema = "key long, sig long, node long, local long, size long, kind byte"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, items (its sorted hashes, as bytes) of the wanted nodes (node, doc_id of one document with that set)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, items = [], []
-            for text, node in zip(b.column("text").to_pylist(), b.column("node").to_pylist(), strict=True):
-                s = shingles(text, width)
-                if fingerprint(s) == node:  # of rows with one doc_id, those with this text
-                    nodes.append(node)
-                    items.append(s.tobytes())
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "items": pa.array(items, pa.binary())})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, items binary")
-    return found.groupBy("node").agg(F.any_value("items").alias("items"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """pairs (a, b: nodes) with `linked`: whether the whole sets have the similarity."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_sets(docs, owners.join(ends, "node", "left_semi"), width), f"{name}-sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
-
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        .select("a", "b", "x", "y")
-    )
-    return materialize(both.mapInArrow(run, "a long, b long, linked boolean"), f"{name}-verified")
-
-
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, star_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of docs.
 
@@ -267,53 +166,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, star_
     Texts without words (null, empty) have an empty set and are their own component. Rows of one doc_id are documents
     of their own; equal sets are one node, whatever their number. A null doc_id is never the smallest unless all are null.
     """
-    tuned(docs.sparkSession)
-    dealt = Window.partitionBy("key")
-    rows = (
-        _signature_rows(docs, width, percent)
-        .select("*", F.min("node").over(dealt).alias("pivot"), F.max("node").over(dealt).alias("other"))
-        .where("kind = 0 or node <> local or pivot <> other or size > 1")
-        .select("kind", "sig", "node", "local", "pivot", "size")
+    allocation = Allocation(percent)
+    content = lambda text: shingles(text, width)
+
+    def check(x: np.ndarray, y: np.ndarray) -> tuple[bool, None, None]:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both), None, None
+
+    members, documents = bucket_rows(docs, content, fingerprint, allocation.signatures, "jaccard")
+    _, part = search(docs, documents, members, content, fingerprint, check, "jaccard", star_rounds, exhaustive=True)
+    named = smallest(documents, part).select("node", "component_id")
+    return documents.join(named, "node", "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
-    rows = materialize(rows, "jaccard-rows")
-    members = rows.where("kind = 1").select("sig", "node", "local", "pivot")
-    documents = rows.where("kind = 0").select(F.col("sig").alias("doc_id"), "node", F.col("size").alias("n_shingles"))
-    owners = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
-    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    star = members.select(F.col("node").alias("a"), F.when(F.col("node") == F.col("local"), F.col("pivot")).otherwise(F.col("local")).alias("b"))
-    seen = _verified(materialize(ordered(star), "jaccard-star"), docs, owners, width, percent, "jaccard-star")
-    part = materialize(components(seen.where("linked"), "jaccard-cc"), "jaccard-part")
-
-    for turn in range(star_rounds + 1):
-        # buckets whose members are not yet in one component
-        placed = members.select("sig", "node").join(part, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-        open_ = materialize(placed.join(split, "sig", "left_semi").distinct(), "jaccard-open")
-        per = open_.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        total = per.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")).first()
-        if not total["rows"]:
-            break
-        if turn == star_rounds or total["pairs"] <= 8 * total["rows"]:
-            left = open_.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            right = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs, last = left.join(right, "sig").where("a < b and ca <> cb").select("a", "b"), True
-        else:
-            pick = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("comp").alias("cb"))).alias("p"))
-            pairs = open_.join(pick.select("sig", "p.b", "p.cb"), "sig").where("comp <> cb").select(F.col("node").alias("a"), "b")
-            last = False
-        pairs = materialize(ordered(pairs).join(seen.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
-        more = _verified(pairs, docs, owners, width, percent, "jaccard-more")
-        seen = seen.unionByName(more)
-        if more.where("linked").limit(1).count():
-            part = materialize(components(seen.where("linked"), "jaccard-cc"), "jaccard-part")
-        if last:
-            break
-
-    named = owners.join(part, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "comp").select("node", "component_id")
-    return documents.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterflow.llm.common import materialize, tuned
-from rasterflow.llm.jaccard_join import mixed
+from rasterflow.llm.pair_search import scramble as mixed
 
 LENGTH, GRAM = 400, 200
 #: Bytes that are hashed at once: bounds a worker's memory. Positions within a slice fit in 22 bits.
