@@ -244,7 +244,7 @@ def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
 _RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def removal_report(docs: DataFrame, hot: int = 4096) -> DataFrame:
+def removal_report(docs: DataFrame, hot: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text; others are ignored).
 
     Null texts are empty; texts of under LENGTH bytes keep all. Rows that are equal in doc_id and text are copies of each
