@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.llm.pair_search import bucket_rows, search, smallest
+from rasterflow.llm.pair_search import bucket_rows, search, smallest, without_frequent
 from rasterflow.llm.pair_search import scramble as mixed
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,7 +55,8 @@ class Band:
     segments: int
     #: Leading segments with a one-deletion neighbourhood.
     deletions: int
-    #: Exact segments of under `small` shingles are left out of sets that have at most `spare` of them.
+    #: Exact segments of under `small` shingles are left out of sets that have at most `spare` of them; what then
+    #: remains of `spare` goes to the segments that most sets share.
     spare: int
     small: int
 
@@ -74,7 +75,7 @@ class Allocation:
     RATIO = 1.3
     #: Sets of a band that have some text in common with a set, by how much they do (as a share of shingles);
     #: each chance meeting with one of them costs as much as a signature.
-    CHANCE, COMMON = 1_000.0, 0.15
+    CHANCE, COMMON = 20_000.0, 0.15
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -84,6 +85,11 @@ class Allocation:
         """The most shingles in which linked sets of these sizes can differ."""
         return (100 - self.percent) * (a + b) // (100 + self.percent)
 
+    @staticmethod
+    def spare(most: int) -> int:
+        """Segments besides those that the pigeonhole needs: as many of a set's most frequent ones can be left out."""
+        return (most + 1) // 4
+
     def band_low(self, k: int) -> int:
         while len(self.lows) <= k:
             self.lows.append(max(self.lows[-1] + 1, math.ceil(self.lows[-1] * self.RATIO)))
@@ -97,9 +103,9 @@ class Allocation:
         if most == 0:
             return None
         mid, best = (low + high) / 2, None
-        for small in (1, 2, 3):
-            for deletions in sorted({0, 1, 2, (most + 1) // 2}):
-                for spare in sorted({0, 1, 2, 3, 4, most // 8 + 2, most // 5 + 3}):
+        for small in (1, 2):
+            for deletions in sorted({0, 1, 2, (most + 1) // 2} if most < 8 else {0}):
+                for spare in {self.spare(most)}:
                     segments = most + 1 + spare - deletions
                     if segments < max(1, deletions):
                         continue
@@ -129,12 +135,12 @@ class Allocation:
             k += 1
         return out
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signed 64-bit signatures of a sorted set."""
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signed 64-bit signatures of a sorted set, and their codes: band * 2^20 + how many of the band may still be left out."""
         n = len(s)
         value = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-        out = []
+        out, codes = [], []
         for k, b in self.bands(n):
             m = b.segments
             # hashes are uniform, so equal ranges of them are the segments
@@ -148,15 +154,20 @@ class Allocation:
             tiny = size[b.deletions :] < b.small
             if tiny.sum() <= b.spare:
                 use[b.deletions :] = ~tiny
+            code = np.full(m, (k << 20) + max(0, b.spare - int(tiny.sum())), np.int64)
+            code[: b.deletions] = -1
             out.append(sig[use])
+            codes.append(code[use])
             if b.deletions:
                 # one row per shingle of the leading segments: its segment without it
                 j = np.repeat(np.arange(b.deletions), size[: b.deletions])
                 rest = total[j] - value[: edge[b.deletions]] + tag[j]
                 out.append(mixed(rest + (size[j] - 1).astype(np.uint64) * MULTIPLIERS[0]))
+                codes.append(np.full(len(j), -1, np.int64))
         if not out:
-            return np.empty(0, np.int64)
-        return np.unique(np.concatenate(out)).view(np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        sig, at = np.unique(np.concatenate(out), return_index=True)
+        return sig.view(np.int64), np.concatenate(codes)[at]
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, star_rounds: int = 4) -> DataFrame:
@@ -174,6 +185,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, star_
         return 100 * both >= percent * (len(x) + len(y) - both), None, None
 
     members, documents = bucket_rows(docs, content, fingerprint, allocation.signatures, "jaccard")
+    members = without_frequent(members, "jaccard")
     _, part = search(docs, documents, members, content, fingerprint, check, "jaccard", star_rounds, exhaustive=True)
     named = smallest(documents, part).select("node", "component_id")
     return documents.join(named, "node", "left").select(

@@ -36,31 +36,29 @@ def release(spark: SparkSession) -> None:
 
 
 def bucket_rows(docs: DataFrame, content: Callable, name: Callable, signatures: Callable, label: str) -> tuple[DataFrame, DataFrame]:
-    """Members (sig, node, local, pivot) of buckets with several nodes, and documents (doc_id, node, size).
+    """Members (sig, node, code) of buckets with several nodes, and documents (doc_id, node, size).
 
-    content(text) is an array, name(content) its node or None, signatures(content) distinct signed 64-bit signatures.
-    Members within one stretch of a task meet at `local`, their smallest; only that one is dealt out by signature and
-    meets the others' at `pivot`, so a bucket of any size gives each task one row. Columns that repeat the key are null.
+    content(text) is an array, name(content) its node or None, signatures(content) distinct signed 64-bit signatures and
+    a code for each. Of the members within one stretch of a task only the smallest is dealt out by signature, so a bucket
+    of any size gives each task one row; `many` tells that there are others. Columns that repeat the key are null.
     """
 
-    def batch(key, node, sig, local, many, size) -> pa.RecordBatch:
-        columns = {"key": key, "node": node, "sig": sig, "local": local, "size": size}
+    def batch(key, node, sig, many, size, code) -> pa.RecordBatch:
+        columns = {"key": key, "node": node, "sig": sig, "size": size, "code": code}
         return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in columns.items()} | {"many": pa.array(many, pa.bool_())})
 
-    def combined(sig: list, node: list) -> pa.RecordBatch:
-        s, v = np.concatenate(sig), np.concatenate(node)
+    def combined(sig: list, node: list, code: list) -> pa.RecordBatch:
+        s, v, c = np.concatenate(sig), np.concatenate(node), np.concatenate(code)
         order = np.lexsort((v, s))
-        s, v = s[order], v[order]
+        s, v, c = s[order], v[order], c[order]
         first = np.ones(len(s), bool)
         first[1:] = s[1:] != s[:-1]
-        at = np.flatnonzero(first)
-        count = np.diff(np.append(at, len(s)))
+        count = np.diff(np.append(np.flatnonzero(first), len(s)))
         key = np.where(first, s, scramble((s ^ v).view(np.uint64)).view(np.int64))
-        local = np.repeat(v[at], count)
-        return batch(key, v, pa.array(s, mask=first), pa.array(local, mask=first), np.repeat(count, count) > 1, pa.nulls(len(s), pa.int64()))
+        return batch(key, v, pa.array(s, mask=first), np.repeat(count, count) > 1, pa.nulls(len(s), pa.int64()), c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, node, held, done = [], [], 0, set()
+        held, rows, done = ([], [], []), 0, set()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             names, sizes = [], []
@@ -71,28 +69,44 @@ def bucket_rows(docs: DataFrame, content: Callable, name: Callable, signatures:
                 if names[-1] is None or names[-1] in done:
                     continue
                 done.add(names[-1])
-                sig.append(signatures(c))
-                node.append(np.full(len(sig[-1]), names[-1], np.int64))
-                held += len(sig[-1])
+                sig, code = signatures(c)
+                for to, x in zip(held, (sig, np.full(len(sig), names[-1], np.int64), code), strict=True):
+                    to.append(x)
+                rows += len(sig)
             spread = [(n or 0) ^ (i or 0) * 0x9E3779B1 & 0x7FFFFFFF for n, i in zip(names, ids, strict=True)]
-            yield batch(spread, names, ids, names, np.zeros(len(ids), bool), sizes)
-            if held >= FLUSH_ROWS:
-                yield combined(sig, node)
-                sig, node, held, done = [], [], 0, set()
-        if held:
-            yield combined(sig, node)
+            yield batch(spread, names, ids, np.zeros(len(ids), bool), sizes, pa.nulls(len(ids), pa.int64()))
+            if rows >= FLUSH_ROWS:
+                yield combined(*held)
+                held, rows, done = ([], [], []), 0, set()
+        if rows:
+            yield combined(*held)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = Window.partitionBy("key")
     rows = (
-        texts.mapInArrow(run, "key long, node long, sig long, local long, size long, many boolean")
-        .select("*", F.min("node").over(dealt).alias("pivot"), F.max("node").over(dealt).alias("other"))
-        .where("size is not null or many or local is not null or pivot <> other")
-        .selectExpr("size", "if(size is null, coalesce(sig, key), sig) as sig", "node", "coalesce(local, node) as local", "pivot")
+        texts.mapInArrow(run, "key long, node long, sig long, size long, code long, many boolean")
+        .select("*", F.min("node").over(dealt).alias("low"), F.max("node").over(dealt).alias("high"))
+        .where("size is not null or many or low <> high")
+        .selectExpr("size", "if(size is null, coalesce(sig, key), sig) as sig", "node", "code")
     )
     rows = materialize(rows, f"{label}-rows")
     release(docs.sparkSession)
-    return rows.where("size is null").select("sig", "node", "local", "pivot"), rows.where("size is not null").select(F.col("sig").alias("doc_id"), "node", "size")
+    return rows.where("size is null").select("sig", "node", "code"), rows.where("size is not null").select(F.col("sig").alias("doc_id"), "node", "size")
+
+
+def without_frequent(members: DataFrame, label: str) -> DataFrame:
+    """Members without the buckets that nodes can spare: of each node and group, its `spare` most frequent ones.
+
+    code: group * 2^20 + spare, or -1 for buckets that always stay. Frequencies order all buckets alike for every node, so
+    of any `spare` + 1 buckets that two nodes share, the least frequent stays with both.
+    """
+    counts = members.groupBy("sig").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node", F.shiftright("code", 20)).orderBy(F.desc("n"), "sig")
+    ranked = members.join(counts, "sig").select("*", F.row_number().over(order).alias("rank"))
+    kept = ranked.where(f"code < 0 or rank > code & {(1 << 20) - 1}").select("sig", "node")
+    out = materialize(kept, f"{label}-kept")
+    release(members.sparkSession)
+    return out
 
 
 def fetch(docs: DataFrame, documents: DataFrame, nodes: DataFrame, content: Callable, name: Callable, label: str) -> DataFrame:
@@ -187,8 +201,9 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
     Not exhaustive: the last round takes two shared buckets of a node as one.
     """
     tuned(docs.sparkSession)
-    star = members.select(F.col("node").alias("a"), F.when(F.col("node") == F.col("local"), F.col("pivot")).otherwise(F.col("local")).alias("b")).where("a <> b")
-    star = materialize(star.groupBy("a", "b").agg(F.count("*").alias("n")), f"{label}-star")
+    pivots = members.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("other")).where("b <> other").select("sig", "b")
+    star = members.join(pivots, "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
+    star = materialize(star, f"{label}-star")
     items = fetch(docs, documents, star.selectExpr("a as node").union(star.selectExpr("b as node")).distinct(), content, name, label)
     best = star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).selectExpr("a", "m.b as b")
     seen = verified(materialize(_once(best), f"{label}-best"), items, check, f"{label}-best")
