@@ -81,14 +81,14 @@ class Allocation:
         self.percent = percent
         self.lows = [1]
 
-    def limit(self, a: int, b: int) -> int:
+    def limit(self, a, b):
         """The most shingles in which linked sets of these sizes can differ."""
         return (100 - self.percent) * (a + b) // (100 + self.percent)
 
     @staticmethod
     def spare(most: int) -> int:
         """Segments besides those that the pigeonhole needs: as many of a set's most frequent ones can be left out."""
-        return (most + 1) // 4
+        return (most + 2) // 3
 
     def band_low(self, k: int) -> int:
         while len(self.lows) <= k:
@@ -170,7 +170,7 @@ class Allocation:
         return sig.view(np.int64), np.concatenate(codes)[at]
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, star_rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of docs.
 
     docs: doc_id, text; others are ignored. A-Z are lowered, words are runs without space, tab, line or page breaks.
@@ -184,9 +184,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, star_
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both), None, None
 
+    def sketch(s: np.ndarray) -> bytes:
+        """How many shingles fall into each of 256 equal ranges of hashes, 255 at most."""
+        return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
     members, documents = bucket_rows(docs, content, fingerprint, allocation.signatures, "jaccard")
     members = without_frequent(members, "jaccard")
-    _, part = search(docs, documents, members, content, fingerprint, check, "jaccard", star_rounds, exhaustive=True)
+    _, part = search(docs, documents, members, content, fingerprint, check, "jaccard", sketch, allocation.limit)
     named = smallest(documents, part).select("node", "component_id")
     return documents.join(named, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")

@@ -95,15 +95,15 @@ def bucket_rows(docs: DataFrame, content: Callable, name: Callable, signatures:
 
 
 def without_frequent(members: DataFrame, label: str) -> DataFrame:
-    """Members without the buckets that nodes can spare: of each node and group, its `spare` most frequent ones.
+    """Members (sig, node) without the buckets that nodes can spare: of each node and group, its `spare` most frequent ones.
 
     code: group * 2^20 + spare, or -1 for buckets that always stay. Frequencies order all buckets alike for every node, so
     of any `spare` + 1 buckets that two nodes share, the least frequent stays with both.
     """
     counts = members.groupBy("sig").agg(F.count("*").alias("n"))
     order = Window.partitionBy("node", F.shiftright("code", 20)).orderBy(F.desc("n"), "sig")
-    ranked = members.join(counts, "sig").select("*", F.row_number().over(order).alias("rank"))
-    kept = ranked.where(f"code < 0 or rank > code & {(1 << 20) - 1}").select("sig", "node")
+    ranked = members.join(counts, "sig").select("*", F.row_number().over(order).alias("rank"), F.expr(f"if(code < 0, 0, code & {(1 << 20) - 1})").alias("spare"))
+    kept = ranked.where("rank > spare").select("sig", "node")
     out = materialize(kept, f"{label}-kept")
     release(members.sparkSession)
     return out
@@ -186,65 +186,83 @@ def _once(pairs: DataFrame) -> DataFrame:
     return each.selectExpr("if(b = low, high, low) as a", "b")
 
 
-def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    a, b = part.select(F.col("node").alias("a"), F.col("comp").alias("ca")), part.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+#: Members of a bucket that are small enough to be paired with each other at once.
+FEW = 16
 
 
-def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, label: str, rounds: int, exhaustive: bool) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links.
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each bucket that are in different components."""
+    x = left.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
+    y = right.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return x.join(y, "sig").where("a <> b and ca <> cb").select("a", "b")
 
-    First each node against the pivot with which it shares most buckets, then against its other pivots if they are
-    in other components. Then, in buckets whose members still lie in several components, against other pivots, in at most
-    `rounds` rounds; exhaustive: at last all pairs of such buckets that lie in different components, so that none is lost.
-    Not exhaustive: the last round takes two shared buckets of a node as one.
+
+def _possible(pairs: DataFrame, items: DataFrame, sketch: Callable, most: Callable) -> DataFrame:
+    """The pairs whose sketches differ in no more than linked contents can."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            contents = [np.frombuffer(x, np.uint64) for x in b.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), pa.array([len(c) for c in contents], pa.int64()), pa.array([sketch(c) for c in contents], pa.binary())], names=["node", "size", "sketch"]
+            )
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.int16) for n in ("x", "y"))
+            limit = most(b.column("nx").to_numpy(), b.column("ny").to_numpy())
+            ok = np.abs(x - y).sum(axis=1) <= limit
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    sketches = materialize(items.select("node", "items").mapInArrow(make, "node long, size long, sketch binary"), "sketches")
+    left = sketches.select(F.col("node").alias("a"), F.col("size").alias("nx"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("node").alias("b"), F.col("size").alias("ny"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(keep, "a long, b long")
+
+
+def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, exhaustive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links. members: sig, node.
+
+    First each node meets the pivot with which it shares most buckets. Then come the buckets whose members still lie in
+    several components. exhaustive: all their pairs from different components are verified, so no link between components is
+    lost. Otherwise so are buckets of few members; of larger ones, pairs that share two of them, if few share both, and
+    else each against a pivot. sketch(content): counts that differ in no more than their contents do; pairs whose counts
+    differ by more than most(size of one, size of the other) can't be linked and are left out before contents are read.
     """
     tuned(docs.sparkSession)
     pivots = members.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("other")).where("b <> other").select("sig", "b")
     star = members.join(pivots, "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
-    star = materialize(star, f"{label}-star")
-    items = fetch(docs, documents, star.selectExpr("a as node").union(star.selectExpr("b as node")).distinct(), content, name, label)
-    best = star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).selectExpr("a", "m.b as b")
-    seen = verified(materialize(_once(best), f"{label}-best"), items, check, f"{label}-best")
-
-    def parts() -> DataFrame:
-        return materialize(components(seen.where("linked"), f"{label}-cc"), f"{label}-part")
-
-    def more(pairs: DataFrame) -> DataFrame:
-        known = seen.select("a", "b").union(seen.selectExpr("b as a", "a as b"))
-        return materialize(_once(pairs).join(known, ["a", "b"], "left_anti"), f"{label}-pairs")
-
-    part = parts()
-    rest = more(_apart(star.select("a", "b"), part))
-    if rest.limit(1).count():
-        seen = materialize(seen.unionByName(verified(rest, items, check, f"{label}-rest")), f"{label}-seen")
-        part = parts()
-    for turn in range(rounds + 1):
-        placed = members.select("sig", "node").join(part, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-        open_ = materialize(placed.join(split, "sig", "left_semi").distinct(), f"{label}-open")
-        per = open_.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        total = per.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")).first()
-        if not total["rows"]:
-            break
-        last = turn == rounds or (exhaustive and total["pairs"] <= 4 * total["rows"])
-        if last and exhaustive:
-            left = open_.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            right = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "sig").where("a < b and ca <> cb").select("a", "b")
-        else:
-            if last:
-                open_ = open_.alias("x").join(open_.alias("y"), F.expr("x.node = y.node and x.sig < y.sig"))
-                open_ = materialize(open_.selectExpr("xxhash64(x.sig, y.sig) as sig", "x.node as node", "x.comp as comp"), f"{label}-two")
-            pick = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("comp").alias("cb"))).alias("p"))
-            pairs = open_.join(pick.select("sig", "p.b", "p.cb"), "sig").where("comp <> cb").select(F.col("node").alias("a"), "b")
-        pairs = more(pairs)
-        if pairs.limit(1).count():
-            seen = materialize(seen.unionByName(verified(pairs, items, check, f"{label}-more")), f"{label}-seen")
-            part = parts()
-        if last:
-            break
+    best = materialize(_once(star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).selectExpr("a", "m.b as b")), f"{label}-best")
+    active = members.join(pivots, "sig", "left_semi").select("node").distinct()
+    items = fetch(docs, documents, active, content, name, label)
+    seen = verified(best, items, check, f"{label}-best")
+    part = materialize(components(seen.where("linked"), f"{label}-cc"), f"{label}-part")
+
+    placed = members.join(part, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+    split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "n")
+    open_ = materialize(placed.join(split, "sig"), f"{label}-open")
+    if exhaustive:
+        pairs = _pairs(open_, open_)
+    else:
+        few, many = open_.where(F.col("n") <= FEW), open_.where(F.col("n") > FEW)
+        two = many.alias("x").join(many.alias("y"), F.expr("x.node = y.node and x.sig < y.sig"))
+        two = two.selectExpr("xxhash64(x.sig, y.sig) as sig", "x.node as node", "x.comp as comp")
+        counts = two.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "n")
+        two = materialize(two.join(counts, "sig"), f"{label}-two")
+        near, crowd = two.where(F.col("n") <= FEW), two.where(F.col("n") > FEW)
+        pivots = crowd.groupBy("sig").agg(F.max(F.struct("node", "comp")).alias("p")).select("sig", "p.node", "p.comp")
+        pairs = _pairs(few, few).union(_pairs(near, near)).union(_pairs(crowd, pivots))
+    known = seen.select("a", "b").union(seen.selectExpr("b as a", "a as b"))
+    pairs = materialize(_once(pairs).join(known, ["a", "b"], "left_anti"), f"{label}-pairs")
+    release(docs.sparkSession)
+    if sketch:
+        pairs = materialize(_possible(pairs, items, sketch, most), f"{label}-possible")
+        release(docs.sparkSession)
+    if pairs.limit(1).count():
+        seen = seen.unionByName(verified(pairs, items, check, f"{label}-more"))
+        part = materialize(components(seen.where("linked"), f"{label}-cc"), f"{label}-part")
     return seen, part
 
 
