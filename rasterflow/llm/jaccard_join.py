@@ -184,13 +184,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both), None, None
 
-    def sketch(s: np.ndarray) -> bytes:
-        """How many shingles fall into each of 256 equal ranges of hashes, 255 at most."""
-        return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+    def sketch(s: np.ndarray) -> np.ndarray:
+        """How many shingles fall into each of 512 equal ranges of hashes."""
+        return np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512)
 
     members, documents = bucket_rows(docs, content, fingerprint, allocation.signatures, "jaccard")
     members = without_frequent(members, "jaccard")
-    _, part = search(docs, documents, members, content, fingerprint, check, "jaccard", sketch, allocation.limit)
+    _, part = search(docs, documents, members, content, fingerprint, check, "jaccard", sketch, allocation.limit, f"{100 - percent} * (nx + ny) div {100 + percent}")
     named = smallest(documents, part).select("node", "component_id")
     return documents.join(named, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")

@@ -188,24 +188,56 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 #: Members of a bucket that are small enough to be paired with each other at once.
 FEW = 16
+#: Pivots that the members of a larger bucket meet.
+PIVOTS = 8
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of each bucket that are in different components."""
-    x = left.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    y = right.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return x.join(y, "sig").where("a <> b and ca <> cb").select("a", "b")
+#: The last bits of a sketch's 512 counts, 64 to a column: two sketches differ by at least as much as these bits do.
+COARSE = [f"k{i}" for i in range(8)]
 
 
-def _possible(pairs: DataFrame, items: DataFrame, sketch: Callable, most: Callable) -> DataFrame:
-    """The pairs whose sketches differ in no more than linked contents can."""
+def _pairs(left: DataFrame, right: DataFrame, limit: str | None = None) -> DataFrame:
+    """Pairs (a, b) of the members of each bucket that are in different components.
+
+    limit: SQL over nx and ny, the most in which contents of these sizes may differ; the counts' last bits are compared in the join.
+    """
+    extra = ["size", *COARSE] if limit else []
+    x = left.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), *[F.col(c).alias(f"x_{c}") for c in extra])
+    y = right.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), *[F.col(c).alias(f"y_{c}") for c in extra])
+    same = (x["sig"] == y["sig"]) & (F.col("a") < F.col("b") if limit else F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb"))
+    if limit:
+        apart = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in COARSE)
+        same = same & F.expr(f"{apart} <= {limit}".replace("nx", "x_size").replace("ny", "y_size"))
+    return x.join(y, same).select("a", "b")
+
+
+def _pivots(many: DataFrame) -> DataFrame:
+    """sig, node, comp: for each bucket its PIVOTS members of the smallest hashes, each under a hash of its own."""
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node"), F.col("comp"))).alias(f"p{t}") for t in range(PIVOTS)]
+    each = many.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*[F.struct(f"p{t}.node", f"p{t}.comp") for t in range(PIVOTS)])).alias("p"))
+    return each.select("sig", "p.node", "p.comp").distinct()
+
+
+def _sketches(items: DataFrame, sketch: Callable, label: str) -> DataFrame:
+    """node, size, sketch (512 counts, 255 at most each) and the counts' last bits."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             contents = [np.frombuffer(x, np.uint64) for x in b.column("items").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array([len(c) for c in contents], pa.int64()), pa.array([sketch(c) for c in contents], pa.binary())], names=["node", "size", "sketch"]
-            )
+            counts = np.array([sketch(c) for c in contents])
+            coarse = np.packbits((counts & 1).astype(np.uint8), axis=1).view("<i8")
+            fine = [x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8)]
+            columns = {"node": b.column("node"), "size": pa.array([len(c) for c in contents], pa.int64()), "sketch": pa.array(fine, pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns | {c: pa.array(coarse[:, i], pa.int64()) for i, c in enumerate(COARSE)})
+
+    schema = "node long, size long, sketch binary, " + ", ".join(f"{c} long" for c in COARSE)
+    return materialize(items.select("node", "items").mapInArrow(make, schema), f"{label}-sketches")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, most: Callable) -> DataFrame:
+    """The pairs whose sketches differ in no more than linked contents can."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,20 +248,19 @@ def _possible(pairs: DataFrame, items: DataFrame, sketch: Callable, most: Callab
             ok = np.abs(x - y).sum(axis=1) <= limit
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    sketches = materialize(items.select("node", "items").mapInArrow(make, "node long, size long, sketch binary"), "sketches")
     left = sketches.select(F.col("node").alias("a"), F.col("size").alias("nx"), F.col("sketch").alias("x"))
     right = sketches.select(F.col("node").alias("b"), F.col("size").alias("ny"), F.col("sketch").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(keep, "a long, b long")
 
 
-def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, exhaustive: bool = True) -> tuple[DataFrame, DataFrame]:
+def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, exhaustive: bool = True) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links. members: sig, node.
 
     First each node meets the pivot with which it shares most buckets. Then come the buckets whose members still lie in
-    several components. exhaustive: all their pairs from different components are verified, so no link between components is
-    lost. Otherwise so are buckets of few members; of larger ones, pairs that share two of them, if few share both, and
-    else each against a pivot. sketch(content): counts that differ in no more than their contents do; pairs whose counts
-    differ by more than most(size of one, size of the other) can't be linked and are left out before contents are read.
+    several components: pairs from different components in those of few members, and several pivots each in larger ones.
+    exhaustive: at last all pairs of a bucket that still lie in different components, so no link between components is lost.
+    sketch(content): counts that differ in no more than their contents do; pairs whose counts differ by more than
+    most(size of one, size of the other), which limit is in SQL, can't be linked and are left out before contents are read.
     """
     tuned(docs.sparkSession)
     pivots = members.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("other")).where("b <> other").select("sig", "b")
@@ -240,29 +271,28 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
     seen = verified(best, items, check, f"{label}-best")
     part = materialize(components(seen.where("linked"), f"{label}-cc"), f"{label}-part")
 
-    placed = members.join(part, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "n")
-    open_ = materialize(placed.join(split, "sig"), f"{label}-open")
-    if exhaustive:
-        pairs = _pairs(open_, open_)
-    else:
+    sketches = _sketches(items, sketch, label) if sketch else None
+
+    def opened() -> DataFrame:
+        placed = members.join(part, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+        split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "n")
+        return materialize(placed.join(split, "sig"), f"{label}-open")
+
+    for last in (False, True)[: 1 + exhaustive]:
+        open_ = opened()
         few, many = open_.where(F.col("n") <= FEW), open_.where(F.col("n") > FEW)
-        two = many.alias("x").join(many.alias("y"), F.expr("x.node = y.node and x.sig < y.sig"))
-        two = two.selectExpr("xxhash64(x.sig, y.sig) as sig", "x.node as node", "x.comp as comp")
-        counts = two.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "n")
-        two = materialize(two.join(counts, "sig"), f"{label}-two")
-        near, crowd = two.where(F.col("n") <= FEW), two.where(F.col("n") > FEW)
-        pivots = crowd.groupBy("sig").agg(F.max(F.struct("node", "comp")).alias("p")).select("sig", "p.node", "p.comp")
-        pairs = _pairs(few, few).union(_pairs(near, near)).union(_pairs(crowd, pivots))
-    known = seen.select("a", "b").union(seen.selectExpr("b as a", "a as b"))
-    pairs = materialize(_once(pairs).join(known, ["a", "b"], "left_anti"), f"{label}-pairs")
-    release(docs.sparkSession)
-    if sketch:
-        pairs = materialize(_possible(pairs, items, sketch, most), f"{label}-possible")
+        if last:
+            open_ = open_.join(sketches.drop("sketch"), "node")
+        pairs = _pairs(open_, open_, limit) if last else _pairs(few, few).union(_pairs(many, _pivots(many)))
+        known = seen.select("a", "b").union(seen.selectExpr("b as a", "a as b"))
+        pairs = materialize(_once(pairs).join(known, ["a", "b"], "left_anti"), f"{label}-pairs")
         release(docs.sparkSession)
-    if pairs.limit(1).count():
-        seen = seen.unionByName(verified(pairs, items, check, f"{label}-more"))
-        part = materialize(components(seen.where("linked"), f"{label}-cc"), f"{label}-part")
+        if sketch:
+            pairs = materialize(_possible(pairs, sketches, most), f"{label}-possible")
+            release(docs.sparkSession)
+        if pairs.limit(1).count():
+            seen = seen.unionByName(verified(pairs, items, check, f"{label}-more"))
+            part = materialize(components(seen.where("linked"), f"{label}-cc"), f"{label}-part")
     return seen, part
 
 
