@@ -130,11 +130,10 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, with their own columns (which may have any names but `_m`)."""
-    names = docs.columns
-    m = measures(docs)
+    """The rows of docs that pass, with their own columns, whatever their names."""
+    whole = docs.select(F.struct("*").alias("_row"), "text")
     ok = F.expr(f"{BASE_FAILED} = false and {condition(rules)}".replace("n_", "_m.n_").replace("word_chars", "_m.word_chars"))
-    return m.where(ok).select(*names)
+    return measures(whole).where(ok).select("_row.*")
 
 
 def report_sql(rules: tuple[Rule, ...] = RULES) -> str:
