@@ -65,7 +65,7 @@ class StreamingViterbi:
     """Encodes normalised text that comes in pieces of any size; committed ids come out as soon as they are sure."""
 
     #: Entries in each generation of kept results: bounds a worker's memory.
-    KEPT = 250_000
+    KEPT = 600_000
     KEPT_PAIRS = 400_000
 
     def __init__(self, model: PieceModel):
