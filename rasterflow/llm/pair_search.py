@@ -196,7 +196,7 @@ PIVOTS = 8
 COARSE = [f"k{i}" for i in range(8)]
 
 
-def _pairs(left: DataFrame, right: DataFrame, limit: str | None = None) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, limit: str | None = None, ordered: bool = True) -> DataFrame:
     """Pairs (a, b) of the members of each bucket that are in different components.
 
     limit: SQL over nx and ny, the most in which contents of these sizes may differ; the counts' last bits are compared in the join.
@@ -204,7 +204,7 @@ def _pairs(left: DataFrame, right: DataFrame, limit: str | None = None) -> DataF
     extra = ["size", *COARSE] if limit else []
     x = left.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), *[F.col(c).alias(f"x_{c}") for c in extra])
     y = right.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), *[F.col(c).alias(f"y_{c}") for c in extra])
-    same = (x["sig"] == y["sig"]) & (F.col("a") < F.col("b") if limit else F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb"))
+    same = (x["sig"] == y["sig"]) & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb"))
     if limit:
         apart = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in COARSE)
         same = same & F.expr(f"{apart} <= {limit}".replace("nx", "x_size").replace("ny", "y_size"))
@@ -280,10 +280,16 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
 
     for last in (False, True)[: 1 + exhaustive]:
         open_ = opened()
+        if sketch:
+            open_ = open_.join(sketches.drop("sketch"), "node")
         few, many = open_.where(F.col("n") <= FEW), open_.where(F.col("n") > FEW)
         if last:
-            open_ = open_.join(sketches.drop("sketch"), "node")
-        pairs = _pairs(open_, open_, limit) if last else _pairs(few, few).union(_pairs(many, _pivots(many)))
+            pairs = _pairs(open_, open_, limit)
+        else:
+            pivots = _pivots(many)
+            if sketch:
+                pivots = pivots.join(sketches.drop("sketch"), "node")
+            pairs = _pairs(few, few, limit).union(_pairs(many, pivots, limit, ordered=False))
         known = seen.select("a", "b").union(seen.selectExpr("b as a", "a as b"))
         pairs = materialize(_once(pairs).join(known, ["a", "b"], "left_anti"), f"{label}-pairs")
         release(docs.sparkSession)
