@@ -10,6 +10,7 @@ position; in a unigram model it is the path of the highest score. Both give the
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -65,13 +66,14 @@ class StreamingViterbi:
     """Encodes normalised text that comes in pieces of any size; committed ids come out as soon as they are sure."""
 
     #: Entries in each generation of kept results: bounds a worker's memory.
-    KEPT = 600_000
-    KEPT_PAIRS = 400_000
+    KEPT = 250_000
+    KEPT_PAIRS = 250_000
 
     def __init__(self, model: PieceModel):
         self.m = model
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        #: Ids of stretches, as little-endian 32-bit integers.
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.merges: dict[tuple[str, str], bool] = {}
         self.cutter = self._cutter()
         #: Pieces that their own merges make: only those can stand in an encoding of type BPE.
@@ -81,7 +83,12 @@ class StreamingViterbi:
             parts, last = self._merged(p)
             if len(parts) == 1 and last:
                 self.children[p] = last
+        #: By their last three characters, how long such pieces are at most.
+        self.reach: dict[str, int] = {}
         self.whole = frozenset(model.id if not model.bpe else [*self.children, *(p for p in model.id if len(p) == 1)])
+        for p in self.whole:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
 
     def _apart(self, left: str, right: str) -> bool:
         """True if the merges of left + right leave both as they are: two pieces that their own merges make.
@@ -167,11 +174,11 @@ class StreamingViterbi:
 
         Backpointers are found from the end, so positions that no path from there needs are never looked at.
         """
-        known, whole, merges, longest, apart = self.m.id, self.whole, self.merges, self.m.longest, self._apart
+        known, whole, merges, reach, apart = self.m.id, self.whole, self.merges, self.reach, self._apart
         last = [0] * (len(s) + 1)
 
         def back(end: int) -> int:
-            for begin in range(max(0, end - longest), end):
+            for begin in range(max(0, end - reach.get(s[max(0, end - 3) : end], 2)), end):
                 piece = s[begin:end]
                 if piece in whole or end - begin == 1:
                     if begin:
@@ -213,16 +220,15 @@ class StreamingViterbi:
             end -= size
         return out[::-1]
 
-    def _chunk(self, s: str) -> tuple[int, ...]:
-        got = self.old.get(s)
+    def _chunk(self, s: str) -> bytes:
+        got = self.memo.get(s) or self.old.get(s)
         if got is None:
             parts = [s] if s[1:].isalpha() else self._parted(s)
             if len(parts) > 1:
-                got = tuple(i for p in parts for i in self.memo.get(p) or self._chunk(p))
-            elif self.m.bpe and len(s) < 2 * self.m.longest:
-                got = self._short(s)
+                got = b"".join([self.memo.get(p) or self._chunk(p) for p in parts])
             else:
-                got = tuple(i for ids in self.lattice(s) for i in ids)
+                ids = self._short(s) if self.m.bpe and len(s) < 2 * self.m.longest else [i for ids in self.lattice(s) for i in ids]
+                got = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.memo) >= self.KEPT:
             self.memo, self.old = {}, self.memo
         self.memo[s] = got
@@ -240,11 +246,12 @@ class StreamingViterbi:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole raw text: stretches between boundaries that no piece crosses, each through the lattice."""
-        out: list[int] = []
-        get, chunk = self.memo.get, self._chunk
-        for s in self.cut(self.m.normalize(text)):
-            out += get(s) or chunk(s)
-        return out
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """encode, as little-endian 32-bit integers."""
+        memo, chunk = self.memo, self._chunk
+        return b"".join([memo.get(s) or chunk(s) for s in self.cut(self.m.normalize(text))])
 
     def _cutter(self) -> re.Pattern | None:
         """What finds the stretches: no piece has a space after another character, so a run of spaces begins one."""
@@ -294,13 +301,14 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
             n, crc, chars, same, kept = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 text = text or ""
-                ids = viterbi.encode(text)
+                packed = viterbi.packed(text)
+                ids = np.frombuffer(packed, "<u4")
                 n.append(len(ids))
-                crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
-                back = decode(model, ids)
+                crc.append(zlib.crc32(packed))
+                back = decode(model, ids.tolist())
                 chars.append(len(back))
                 same.append(back == text.replace(SPACE, " "))
-                kept.append(ids if keep_ids else None)
+                kept.append(ids.astype(np.int32) if keep_ids else None)
             got = {"doc_id": b.column("doc_id").cast(pa.int64()), "n_ids": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "n_chars": pa.array(chars, pa.int64()), "round_trip": pa.array(same, pa.bool_())}
             yield pa.RecordBatch.from_pydict(got | ({"ids": pa.array(kept, pa.list_(pa.int32()))} if keep_ids else {}))
 
