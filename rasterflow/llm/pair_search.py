@@ -20,6 +20,8 @@ from rasterflow.llm.common import components, materialize, tuned
 FLUSH_ROWS = 2_000_000
 #: Pairs of one pivot that one task verifies; a pivot with more is sent to several.
 PIVOT_PAIRS = 2048
+#: Bytes that one wave of verification deals out, in terms of all contents.
+WAVE_SHARE = 2
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -172,10 +174,19 @@ def verified(pairs: DataFrame, items: DataFrame, check: Callable, label: str) ->
     per = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_PAIRS).alias("parts"))
     members = pairs.join(per, "b").select("b", F.col("a").alias("node"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.lit(1).alias("role"))
     pivots = per.select("b", F.col("b").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    dealt = items.join(members.unionByName(pivots), "node").repartition("b", "part").sortWithinPartitions("b", "part", "role", "node")
+    # contents go once with every pair: in as many waves as keep what is on disk at once to a few times the contents
+    lengths = items.select("node", F.length("items").alias("bytes"))
+    sent = members.groupBy("node").agg(F.count("*").alias("n")).join(lengths, "node").agg(F.sum(F.col("n") * F.col("bytes"))).first()[0] or 0
+    held = lengths.agg(F.sum("bytes")).first()[0] or 1
+    waves = max(1, int(-(-sent // (WAVE_SHARE * held))))
+    rows = members.unionByName(pivots).withColumn("wave", F.pmod(F.xxhash64("b", "part"), F.lit(waves)))
     span = "array<struct<begin:long,end:long>>"
-    out = materialize(dealt.select("b", "role", "node", "items").mapInArrow(run, f"a long, b long, linked boolean, xs {span}, ys {span}"), f"{label}-verified")
-    release(pairs.sparkSession)
+    out = None
+    for wave in range(waves):
+        dealt = items.join(rows.where(F.col("wave") == wave), "node").repartition("b", "part").sortWithinPartitions("b", "part", "role", "node")
+        done = materialize(dealt.select("b", "role", "node", "items").mapInArrow(run, f"a long, b long, linked boolean, xs {span}, ys {span}"), f"{label}-verified")
+        out = done if out is None else out.unionByName(done)
+        release(pairs.sparkSession)
     return out
 
 
