@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import SF, oracle, rows_of
 
-from rasterflow.llm import chat_format, compact_windows, decontaminate, jaccard_join, prefix_free, preference_ranking, quality_rules, secrets, sentencepiece_codec, token_output
+from rasterflow.llm import chat_format, compact_windows, decontaminate, jaccard_join, pair_search, prefix_free, preference_ranking, quality_rules, secrets, sentencepiece_codec, token_output
 from rasterflow.llm.queries import BYTE_BPE, ORACLE_SQL, PATTERN, PIECES, QUERIES, WORD_BPE
 
 DOCS = "doc_id long, text string, _m string, node long"
@@ -186,7 +186,9 @@ def test_rules_on_odd_rows(spark):
     assert set(quality_rules.keep_good(docs(spark, ODD)).columns) == {"doc_id", "text", "_m", "node"}
 
 
-def test_passages_that_repeat(spark):
+@pytest.mark.parametrize("share", [2, 0.2])
+def test_passages_that_repeat(spark, monkeypatch, share):
+    monkeypatch.setattr(pair_search, "WAVE_SHARE", share)
     shared = words(70, 50)
     rows = [(i, words(120, 60 + i) + " " + shared + " " + words(80, 90 + i)) for i in range(5)] + [(50 + i, words(200, 200 + i)) for i in range(5)]
     changed = shared.split()
