@@ -1,7 +1,8 @@
 """What the similarity joins share: signatures dealt into buckets, candidates by pivots, verification, components.
 
 A node is a distinct content (its 64-bit name); documents with equal contents are one node, whatever their number.
-Buckets are never expanded into all pairs: members meet at pivots, and pairs within one component are not verified again.
+Members of a bucket meet at pivots first. Then only pairs are verified that lie in different components or, where ranges
+are asked for, of which one has no verified range at the place of the signature.
 """
 
 from __future__ import annotations
@@ -207,26 +208,38 @@ PIVOTS = 8
 COARSE = [f"k{i}" for i in range(8)]
 
 
+def place(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where a member's signature stands, as its code: begin * 2^20 + length."""
+    return (begin.astype(np.int64) << 20) + (end - begin)
+
+
+def _spans(seen: DataFrame) -> DataFrame:
+    """node, spans: the distinct ranges that are verified with any partner."""
+    linked = seen.where("linked")
+    each = linked.selectExpr("a as node", "explode(xs) as s").union(linked.selectExpr("b as node", "explode(ys) as s"))
+    return each.groupBy("node").agg(F.collect_set("s").alias("spans"))
+
+
 def _pairs(left: DataFrame, right: DataFrame, limit: str | None = None, ordered: bool = True) -> DataFrame:
-    """Pairs (a, b) of the members of each bucket that are in different components.
+    """Pairs (a, b) of the members of each bucket that are in different components, or of which one is bare there.
 
     limit: SQL over nx and ny, the most in which contents of these sizes may differ; the counts' last bits are compared in the join.
     """
     extra = ["size", *COARSE] if limit else []
-    x = left.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), *[F.col(c).alias(f"x_{c}") for c in extra])
-    y = right.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), *[F.col(c).alias(f"y_{c}") for c in extra])
-    same = (x["sig"] == y["sig"]) & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb"))
+    x = left.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("bare").alias("ba"), *[F.col(c).alias(f"x_{c}") for c in extra])
+    y = right.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("bare").alias("bb"), *[F.col(c).alias(f"y_{c}") for c in extra])
+    same = (x["sig"] == y["sig"]) & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")) & F.expr("ca <> cb or ba or bb")
     if limit:
         apart = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in COARSE)
         same = same & F.expr(f"{apart} <= {limit}".replace("nx", "x_size").replace("ny", "y_size"))
     return x.join(y, same).select("a", "b")
 
 
-def _pivots(many: DataFrame) -> DataFrame:
-    """sig, node, comp: for each bucket its PIVOTS members of the smallest hashes, each under a hash of its own."""
-    picks = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node"), F.col("comp"))).alias(f"p{t}") for t in range(PIVOTS)]
-    each = many.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*[F.struct(f"p{t}.node", f"p{t}.comp") for t in range(PIVOTS)])).alias("p"))
-    return each.select("sig", "p.node", "p.comp").distinct()
+def _pivots(many: DataFrame, count: int = PIVOTS) -> DataFrame:
+    """sig, node, comp, bare: for each bucket its `count` members of the smallest hashes, each under a hash of its own."""
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node"), F.col("comp"), F.col("bare"))).alias(f"p{t}") for t in range(count)]
+    each = many.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*[F.struct(f"p{t}.node", f"p{t}.comp", f"p{t}.bare") for t in range(count)])).alias("p"))
+    return each.select("sig", "p.node", "p.comp", "p.bare").distinct()
 
 
 def _sketches(items: DataFrame, sketch: Callable, label: str) -> DataFrame:
@@ -264,12 +277,15 @@ def _possible(pairs: DataFrame, sketches: DataFrame, most: Callable) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(keep, "a long, b long")
 
 
-def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, exhaustive: bool = True) -> tuple[DataFrame, DataFrame]:
+def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, places: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links. members: sig, node.
 
     First each node meets the pivot with which it shares most buckets. Then come the buckets whose members still lie in
     several components: pairs from different components in those of few members, and several pivots each in larger ones.
-    exhaustive: at last all pairs of a bucket that still lie in different components, so no link between components is lost.
+    At last come all pairs of a bucket that still lie in different components, so no link between components is lost.
+    places: members also have the place (code) of their signature, and are bare in a bucket while no verified range of theirs
+    holds it. Then pairs of which one is bare count like those of different components, so ranges are found besides links; a
+    bucket of few members has one pivot before all its pairs that are left.
     sketch(content): counts that differ in no more than their contents do; pairs whose counts differ by more than
     most(size of one, size of the other), which limit is in SQL, can't be linked and are left out before contents are read.
     """
@@ -285,11 +301,14 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
     sketches = _sketches(items, sketch, label) if sketch else None
 
     def opened() -> DataFrame:
-        placed = members.join(part, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "n")
+        known = part.join(_spans(seen), "node", "left") if places else part
+        bare = "not coalesce(exists(spans, s -> s.begin <= shiftright(code, 20) and shiftright(code, 20) + (code & 1048575) <= s.end), false)"
+        placed = members.join(known, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"), F.expr(bare if places else "false").alias("bare"))
+        counted = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.bool_or("bare").alias("any"))
+        split = counted.where("n > 1 and (c0 <> c1 or any)").select("sig", "n")
         return materialize(placed.join(split, "sig"), f"{label}-open")
 
-    for last in (False, True)[: 1 + exhaustive]:
+    for last in (False, True):
         open_ = opened()
         if sketch:
             open_ = open_.join(sketches.drop("sketch"), "node")
@@ -300,7 +319,8 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
             pivots = _pivots(many)
             if sketch:
                 pivots = pivots.join(sketches.drop("sketch"), "node")
-            pairs = _pairs(few, few, limit).union(_pairs(many, pivots, limit, ordered=False))
+            first = _pairs(few, _pivots(few, 1), ordered=False) if places else _pairs(few, few, limit)
+            pairs = first.union(_pairs(many, pivots, limit, ordered=False))
         known = seen.select("a", "b").union(seen.selectExpr("b as a", "a as b"))
         pairs = materialize(_once(pairs).join(known, ["a", "b"], "left_anti"), f"{label}-pairs")
         release(docs.sparkSession)
