@@ -24,13 +24,21 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Strings that may be random: long runs of the base64 alphabets.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Strings that may be random or hold random parts: long runs of the base64 alphabets.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST = 16
+#: Below this length, strings with separators are often names of short words and numbers: 99.7 % of random ones are within SHORT_RATIO.
+LONG, SHORT_RATIO = 20, 1.6
+PART = re.compile(r"[A-Za-z0-9]+=*")
+#: Parts of up to so many characters that look like a word or number may still belong to a random string around them.
+SHORT = 4
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 #: Names put together of words and numbers: snake_case, kebab-case, paths.
 NAME = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8})(?:[-_/+](?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8}))*")
+#: Dates with times, as in file names.
+STAMP = re.compile(r"(?:[A-Za-z]*[-_/])*[0-9]{4}[-_/]?[0-9]{2}[-_/]?[0-9]{2}[-_/T]?[0-9]{2}[-_]?[0-9]{2}(?:[-_]?[0-9]{2,9})?Z?(?:[-_+/][A-Za-z0-9]{1,5})*")
 MAX_CHARS_PER_TOKEN = 2.0
 
 
@@ -56,19 +64,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _outside(begin: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What cuts (sorted by their begins) leave of a range."""
+    for a, b in cuts:
+        if a < end and begin < b:
+            if begin < a:
+                yield begin, a
+            begin = max(begin, b)
+    if begin < end:
+        yield begin, end
+
+
+def _stretches(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts between separators, as far as they stand together, without the words of a path or name around them."""
+    held: tuple[int, int] | None = None
+    for m in PART.finditer(text, begin, end):
+        if not NAME.fullmatch(m.group()):
+            held = (held[0] if held else m.start(), m.end())
+        elif held and len(m.group()) > SHORT:
+            yield held
+            held = None
+    if held:
+        yield held
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], ratio: TokenEfficiency, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    """Strings of letters and digits that the vocabulary can't shorten, besides digests, identifiers and base spans."""
+    """Strings of letters and digits that the vocabulary can't shorten, besides digests, identifiers and base spans.
+
+    What base spans leave of a run is judged as a whole, and if that doesn't pass, by its parts between separators: first
+    those that stand together, then each alone.
+    """
+
+    def random(a: int, b: int) -> bool:
+        s = text[a:b]
+        if len(s.rstrip("=")) < LEAST or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+            return False
+        if UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s)) or NAME.fullmatch(s) or STAMP.fullmatch(s):
+            return False
+        short = len(s) < LONG and not s.rstrip("=").isalnum()
+        return ratio(s) <= (min(limit, SHORT_RATIO) if short else limit)
+
     out = []
+    cuts = [(a, b) for a, _, b in base]
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-            continue
-        if UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s)) or NAME.fullmatch(s):
-            continue
-        if ratio(s) <= limit:
-            out.append((m.start(), 3, m.end()))
+        for a, b in _outside(m.start(), m.end(), cuts):
+            # separators beside a cut belong to neither
+            while a > m.start() and a < b and text[a] in "+/_-=":
+                a += 1
+            while b < m.end() and a < b and text[b - 1] in "+/_-":
+                b -= 1
+            if random(a, b):
+                out.append((a, 3, b))
+                continue
+            known = [u.span() for u in UUID.finditer(text, a, b)]
+            for piece in _outside(a, b, known):
+                for c, d in _stretches(text, *piece):
+                    if random(c, d):
+                        out.append((c, 3, d))
+                    else:
+                        out += [(q.start(), 3, q.end()) for q in PART.finditer(text, c, d) if (q.start(), q.end()) != (c, d) and random(q.start(), q.end())]
     return out
 
 
