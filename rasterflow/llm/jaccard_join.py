@@ -13,13 +13,16 @@ no link between components is lost.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rasterflow.llm.pair_search import bucket_rows, search, smallest, without_frequent
 from rasterflow.llm.pair_search import scramble as mixed
@@ -170,13 +173,8 @@ class Allocation:
         return sig.view(np.int64), np.concatenate(codes)[at]
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of docs.
-
-    docs: doc_id, text; others are ignored. A-Z are lowered, words are runs without space, tab, line or page breaks.
-    Texts without words (null, empty) have an empty set and are their own component. Rows of one doc_id are documents
-    of their own; equal sets are one node, whatever their number. A null doc_id is never the smallest unless all are null.
-    """
+def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, node, size and component_id (null without words) of every row of docs."""
     allocation = Allocation(percent)
     content = lambda text: shingles(text, width)
 
@@ -192,15 +190,43 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     members = without_frequent(members, "jaccard")
     _, part = search(docs, documents, members, content, fingerprint, check, "jaccard", sketch, allocation.limit, f"{100 - percent} * (nx + ny) div {100 + percent}")
     named = smallest(documents, part).select("node", "component_id")
-    return documents.join(named, "node", "left").select(
+    return documents.join(named, "node", "left").select("doc_id", "node", "size", "component_id")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of docs.
+
+    docs: doc_id, text; others are ignored. A-Z are lowered, words are runs without space, tab, line or page breaks.
+    Texts without words (null, empty) have an empty set and are their own component. Rows of one doc_id are documents
+    of their own; equal sets are one node, whatever their number. A null doc_id is never the smallest unless all are null.
+    """
+    return _placed(docs, width, percent).select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one of the smallest doc_id, and its first text if it has several rows.
+    """docs with one row of each component: the one of the smallest doc_id, and of its rows in the component the least text.
 
     Documents without words are no copies of each other and stay; so do rows with a null doc_id.
     """
-    found = jaccard_components(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_copy"], "left_anti").select(*docs.columns)
+    placed = _placed(docs, width, percent)
+    copies = placed.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    repeated = placed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_copy")).count().where("count > 1").select("_copy")
+    if not repeated.limit(1).count():
+        return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti").select(*docs.columns)
+    alone = docs.join(copies.union(repeated), F.col("doc_id") == F.col("_copy"), "left_anti").select(*docs.columns)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = [fingerprint(shingles(t, width)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], names=[*b.schema.names, "_node"])
+
+    # rows of a repeated doc_id are told apart by their texts
+    several = docs.join(repeated, docs["doc_id"] == repeated["_copy"], "left_semi").select(*docs.columns)
+    several = several.mapInArrow(named, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    of = placed.where("node is not null").select(F.col("node").alias("_of"), F.col("component_id").alias("_component")).distinct()
+    several = several.join(of, F.col("_node") == F.col("_of"), "left").where("_component is null or doc_id = _component")
+    first = Window.partitionBy("_component", F.when(F.col("_component").isNull(), F.monotonically_increasing_id())).orderBy("text")
+    several = several.withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+    return alone.unionByName(several.select(*docs.columns))
