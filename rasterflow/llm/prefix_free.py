@@ -3,9 +3,10 @@
 Triggers are the k-grams whose rolling hash is the smallest in a window of a repeat's length, so every string of
 that length holds one, chosen by its own bytes alone. The windows that share a trigger make a phrase, overlapping
 its neighbours. The dictionary holds each phrase once, the parse names the phrases of each document: a phrase that
-the parse holds twice is repeated as a whole. Only phrases that share a trigger with other phrases are compared
-byte by byte: the suffixes of those dictionary phrases are ranked by prefix doubling, and suffixes of equal rank
-over a repeat's length are repeats.
+the parse holds twice is repeated as a whole; the parse is counted by phrase hash, no suffix array of it is built.
+Only phrases that share a trigger with other phrases are compared byte by byte: aligned at the trigger, their rows are
+kept in the order of their suffixes column by column from right to left, and neighbours whose common prefix is a
+repeat's length are repeats. Of triggers with very many phrases, windows are counted by 128-bit hash instead.
 """
 
 from __future__ import annotations
