@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch: bound a Python worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a batch of very long texts still fits in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -42,7 +43,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables whose readers are written themselves; others than those of materialize stay."""
+    for t in tables:
+        if at := getattr(t, "stored_at", None):
+            folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def components(nodes_edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -59,7 +70,7 @@ def components(nodes_edges: DataFrame, name: str = "cc") -> DataFrame:
         .distinct()
     )
     links = materialize(links, name)
-    nodes = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+    given, olds = links, []
     mark = None
     while True:
         both = links.union(links.select("v", "u")).toDF("u", "v")
@@ -75,12 +86,18 @@ def components(nodes_edges: DataFrame, name: str = "cc") -> DataFrame:
             .union(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        links = materialize(small, name)
+        old, links = links, materialize(small, name)
+        olds.append(old)
         # a star forest has one link for each node that isn't a root, and no root with a parent
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == mark:
             break
         mark = (now["n"], now["h"])
-    return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").select(
-        "node", F.coalesce("comp", "node").alias("comp")
+        discard(*[t for t in olds if t is not given])
+        olds = []
+    nodes = given.select(F.col("u").alias("node")).union(given.select(F.col("v").alias("node"))).distinct()
+    out = materialize(
+        nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), f"{name}-part"
     )
+    discard(given, links)
+    return out

@@ -31,9 +31,13 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
+def raw(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode()
+
+
+def shingles(text: str | bytes | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles of `width` words; of the whole text if it has fewer."""
-    words = (text or "").encode().translate(LOWER).split()
+    words = raw(text).translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -186,9 +190,15 @@ def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
         """How many shingles fall into each of 512 equal ranges of hashes."""
         return np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512)
 
-    members, documents = bucket_rows(docs, content, fingerprint, allocation.signatures, "jaccard")
+    def coded(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = [allocation.signatures(s) for s in sets]
+        return np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+    members, documents, _ = bucket_rows(docs, content, fingerprint, coded, "jaccard")
     members = without_frequent(members, "jaccard")
-    _, part = search(docs, documents, members, content, fingerprint, check, "jaccard", sketch, allocation.limit, f"{100 - percent} * (nx + ny) div {100 + percent}")
+    # linked sets have at least that share of the larger one in common
+    rare = lambda s, _: [(s, len(s) - -(-len(s) * percent // 100) + 1)]
+    _, part = search(docs, documents, members, content, fingerprint, check, rare, "jaccard", sketch, allocation.limit, f"{100 - percent} * (nx + ny) div {100 + percent}")
     named = smallest(documents, part).select("node", "component_id")
     return documents.join(named, "node", "left").select("doc_id", "node", "size", "component_id")
 

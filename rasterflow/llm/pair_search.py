@@ -12,15 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import components, materialize, tuned
+from rasterflow.llm.common import components, discard, materialize, tuned
 
 #: Signatures that a worker combines at once: bounds its memory.
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 500_000
 #: Pairs of one pivot that one task verifies; a pivot with more is sent to several.
-PIVOT_PAIRS = 2048
+PIVOT_PAIRS = 256
 #: Bytes that one wave of verification deals out, in terms of all contents.
 WAVE_SHARE = 2
 
@@ -38,63 +39,128 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bucket_rows(docs: DataFrame, content: Callable, name: Callable, signatures: Callable, label: str) -> tuple[DataFrame, DataFrame]:
-    """Members (sig, node, code) of buckets with several nodes, and documents (doc_id, node, size).
+#: Buckets of signatures for each partition that they are dealt to: a partition's are gathered one after the other.
+BUCKETS = 8
 
-    content(text) is an array, name(content) its node or None, signatures(content) distinct signed 64-bit signatures and
-    a code for each. Of the members within one stretch of a task only the smallest is dealt out by signature, so a bucket
-    of any size gives each task one row; `many` tells that there are others. Columns that repeat the key are null.
-    """
 
-    def batch(key, node, sig, many, size, code) -> pa.RecordBatch:
-        columns = {"key": key, "node": node, "sig": sig, "size": size, "code": code}
-        return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in columns.items()} | {"many": pa.array(many, pa.bool_())})
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit integers as planes of bytes: planes of few different values compress well."""
+    return b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
 
-    def combined(sig: list, node: list, code: list) -> pa.RecordBatch:
-        s, v, c = np.concatenate(sig), np.concatenate(node), np.concatenate(code)
-        order = np.lexsort((v, s))
+
+def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(blob, np.uint8).reshape(8 * columns, -1)
+    return [np.ascontiguousarray(planes[8 * i : 8 * i + 8].T).view(np.int64).ravel() for i in range(columns)]
+
+
+def bucket_rows(docs: DataFrame, content: Callable, name: Callable, signatures: Callable, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (sig, node, code) of buckets with several nodes, documents (doc_id, node, size), and the table that holds both.
+
+    content(text) is an array, name(content) its node or None, signatures(contents) the signed 64-bit signatures of several
+    contents: to which each belongs, the signature and a code. Signatures go by ranges to buckets, packed: a row for each
+    flush of a task and bucket. Of the members within one flush only one is dealt out by signature, with their number, so a
+    bucket of any size gets few rows from each task; the others are known to stay and go anywhere.
+    """
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions * BUCKETS
+    made = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())])
+    found = pa.schema([("size", pa.int64()), ("sig", pa.int64()), ("node", pa.int64()), ("code", pa.int64())])
+
+    def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        at, kind, body = zip(*rows, strict=True)
+        empty = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kind, pa.int8()), empty, empty, empty, pa.array(body, pa.binary())], schema=made)
+
+    def combined(sig: list, node: list, code: list) -> Iterator[pa.RecordBatch]:
+        s, v, c = np.concatenate(sig).view(np.uint64), np.concatenate(node), np.concatenate(code)
+        order = np.argsort(s, kind="stable")
         s, v, c = s[order], v[order], c[order]
-        first = np.ones(len(s), bool)
-        first[1:] = s[1:] != s[:-1]
-        count = np.diff(np.append(np.flatnonzero(first), len(s)))
-        key = np.where(first, s, scramble((s ^ v).view(np.uint64)).view(np.int64))
-        return batch(key, v, pa.array(s, mask=first), np.repeat(count, count) > 1, pa.nulls(len(s), pa.int64()), c)
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        count = np.diff(np.append(first, len(s)))
+        at = ((s[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        out = []
+        edges = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            k = first[a:b]
+            out.append((int(at[a]), 1, _packed(s[k], v[k], c[k], count[a:b])))
+            if len(out) == 256:
+                yield blobs(out)
+                out = []
+        others = np.ones(len(s), bool)
+        others[first] = False
+        others = np.flatnonzero(others)
+        for a in range(0, len(others), 4096):
+            k = others[a : a + 4096]
+            out.append((int(scramble(s[k[:1]] ^ v[k[:1]].view(np.uint64))[0] % np.uint64(buckets)), 2, _packed(s[k], v[k], c[k])))
+        if out:
+            yield blobs(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, done = ([], [], []), 0, set()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            names, sizes = [], []
-            for text in b.column("text").to_pylist():
-                c = content(text)
-                names.append(name(c))
-                sizes.append(len(c))
-                if names[-1] is None or names[-1] in done:
-                    continue
-                done.add(names[-1])
-                sig, code = signatures(c)
-                for to, x in zip(held, (sig, np.full(len(sig), names[-1], np.int64), code), strict=True):
-                    to.append(x)
-                rows += len(sig)
-            spread = [(n or 0) ^ (i or 0) * 0x9E3779B1 & 0x7FFFFFFF for n, i in zip(names, ids, strict=True)]
-            yield batch(spread, names, ids, np.zeros(len(ids), bool), sizes, pa.nulls(len(ids), pa.int64()))
+            contents = [content(text) for text in b.column("text").to_pylist()]
+            names, sizes = [name(c) for c in contents], [len(c) for c in contents]
+            spread = [((n or 0) ^ (i or 0) * 0x9E3779B1 & 0x7FFFFFFF) % buckets for n, i in zip(names, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.array([0] * len(ids), pa.int8()), pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.binary())], schema=made)
+            new = []
+            for k, n in enumerate(names):
+                if n is not None and n not in done:
+                    done.add(n)
+                    new.append(k)
+            if not new:
+                continue
+            which, sig, code = signatures([contents[k] for k in new])
+            for to, x in zip(held, (sig, np.array([names[k] for k in new], np.int64)[which], code), strict=True):
+                to.append(x)
+            rows += len(sig)
             if rows >= FLUSH_ROWS:
-                yield combined(*held)
+                yield from combined(*held)
                 held, rows, done = ([], [], []), 0, set()
         if rows:
-            yield combined(*held)
+            yield from combined(*held)
+
+    def members(sig: np.ndarray, node: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(sig), pa.int64()), pa.array(sig), pa.array(node), pa.array(code)], schema=found)
+
+    def shared(held: list[bytes]) -> pa.RecordBatch:
+        """The members of one bucket whose signature several nodes have."""
+        s, v, c, n = (np.concatenate(x) for x in zip(*(_unpacked(b, 4) for b in held), strict=True))
+        order = np.lexsort((v, s))
+        s, v, c, n = s[order], v[order], c[order], n[order]
+        begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        size = np.diff(np.append(begin, len(s)))
+        several = (v[begin] != v[begin + size - 1]) | (np.maximum.reduceat(n, begin) > 1)
+        keep = np.repeat(several, size)
+        keep[1:] &= (s[1:] != s[:-1]) | (v[1:] != v[:-1])
+        return members(s[keep], v[keep], c[keep])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        for b in batches:
+            known = pc.equal(b.column("kind"), 0)
+            d = b.filter(known)
+            if d.num_rows:
+                yield pa.RecordBatch.from_arrays([d.column("size"), d.column("doc_id"), d.column("node"), pa.nulls(d.num_rows, pa.int64())], schema=found)
+            rest = b.filter(pc.invert(known))
+            for at, kind, blob in zip(rest.column("bucket").to_pylist(), rest.column("kind").to_pylist(), rest.column("blob").to_pylist(), strict=True):
+                if kind == 2:
+                    yield members(*_unpacked(blob, 3))
+                    continue
+                if at != bucket and held:
+                    yield shared(held)
+                    held = []
+                held.append(blob)
+                bucket = at
+        if held:
+            yield shared(held)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = Window.partitionBy("key")
-    rows = (
-        texts.mapInArrow(run, "key long, node long, sig long, size long, code long, many boolean")
-        .select("*", F.min("node").over(dealt).alias("low"), F.max("node").over(dealt).alias("high"))
-        .where("size is not null or many or low <> high")
-        .selectExpr("size", "if(size is null, coalesce(sig, key), sig) as sig", "node", "code")
-    )
-    rows = materialize(rows, f"{label}-rows")
-    release(docs.sparkSession)
-    return rows.where("size is null").select("sig", "node", "code"), rows.where("size is not null").select(F.col("sig").alias("doc_id"), "node", "size")
+    dealt = texts.mapInArrow(run, "bucket int, kind byte, doc_id long, node long, size long, blob binary").repartition(partitions, "bucket")
+    rows = materialize(dealt.sortWithinPartitions("bucket").mapInArrow(gather, "size long, sig long, node long, code long"), f"{label}-rows")
+    release(spark)
+    return rows.where("size is null").select("sig", "node", "code"), rows.where("size is not null").select(F.col("sig").alias("doc_id"), "node", "size"), rows
 
 
 def without_frequent(members: DataFrame, label: str) -> DataFrame:
@@ -103,27 +169,27 @@ def without_frequent(members: DataFrame, label: str) -> DataFrame:
     code: group * 2^20 + spare, or -1 for buckets that always stay. Frequencies order all buckets alike for every node, so
     of any `spare` + 1 buckets that two nodes share, the least frequent stays with both.
     """
-    counts = members.groupBy("sig").agg(F.count("*").alias("n"))
+    counts = materialize(members.groupBy("sig").agg(F.count("*").alias("n")), f"{label}-frequent")
     order = Window.partitionBy("node", F.shiftright("code", 20)).orderBy(F.desc("n"), "sig")
     ranked = members.join(counts, "sig").select("*", F.row_number().over(order).alias("rank"), F.expr(f"if(code < 0, 0, code & {(1 << 20) - 1})").alias("spare"))
     kept = ranked.where("rank > spare").select("sig", "node")
     out = materialize(kept, f"{label}-kept")
+    discard(counts)
     release(members.sparkSession)
     return out
 
 
 def fetch(docs: DataFrame, documents: DataFrame, nodes: DataFrame, content: Callable, name: Callable, label: str) -> DataFrame:
-    """node, items (bytes of its content) for nodes: from the text of the smallest doc_id that has it."""
+    """node, items (a text that has its content) for nodes: the text of the smallest doc_id that has it."""
     owners = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, items = [], []
             for text, node in zip(b.column("text").to_pylist(), b.column("node").to_pylist(), strict=True):
-                c = content(text)
-                if name(c) == node:  # of rows with one doc_id, those with this text
+                if name(content(text)) == node:  # of rows with one doc_id, those with this text
                     kept.append(node)
-                    items.append(c.tobytes())
+                    items.append(text.encode())
             yield pa.RecordBatch.from_pydict({"node": pa.array(kept, pa.int64()), "items": pa.array(items, pa.binary())})
 
     wanted = owners.join(nodes, "node", "left_semi")
@@ -138,7 +204,7 @@ def fetch(docs: DataFrame, documents: DataFrame, nodes: DataFrame, content: Call
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = [(n, c.tobytes()) for c in map(content, b.column("text").to_pylist()) if (n := name(c)) is not None]
+                got = [(n, t.encode()) for t in b.column("text").to_pylist() if (n := name(content(t))) is not None]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([n for n, _ in got], pa.int64()), "items": pa.array([c for _, c in got], pa.binary())})
 
         alone = texts.mapInArrow(named, "node long, items binary").groupBy("node").agg(F.any_value("items").alias("items"))
@@ -151,7 +217,7 @@ def fetch(docs: DataFrame, documents: DataFrame, nodes: DataFrame, content: Call
 _SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def verified(pairs: DataFrame, items: DataFrame, check: Callable, label: str) -> DataFrame:
+def verified(pairs: DataFrame, items: DataFrame, content: Callable, check: Callable, label: str) -> DataFrame:
     """pairs (a, b) with linked, xs and ys, as check(content of a, content of b) returns them.
 
     b is a pair's pivot: its content goes once to each task that verifies pairs with it, however many those are.
@@ -163,16 +229,15 @@ def verified(pairs: DataFrame, items: DataFrame, check: Callable, label: str) ->
             out = []
             columns = (batch.column(n).to_pylist() for n in ("b", "role", "node", "items"))
             for b, role, node, raw in zip(*columns, strict=True):
-                content = np.frombuffer(raw, np.uint64)
                 if role == 0:
-                    held, pivot = b, content
+                    held, pivot = b, content(raw)
                 elif held == b:
-                    out.append((node, b, *check(content, pivot)))
+                    out.append((node, b, *check(content(raw), pivot)))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = (pa.int64(), pa.int64(), pa.bool_(), _SPAN, _SPAN)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "b", "linked", "xs", "ys"])
 
-    per = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_PAIRS).alias("parts"))
+    per = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_PAIRS).alias("parts")), f"{label}-pivots")
     members = pairs.join(per, "b").select("b", F.col("a").alias("node"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.lit(1).alias("role"))
     pivots = per.select("b", F.col("b").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     # contents go once with every pair: in as many waves as keep what is on disk at once to a few times the contents
@@ -188,6 +253,7 @@ def verified(pairs: DataFrame, items: DataFrame, check: Callable, label: str) ->
         done = materialize(dealt.select("b", "role", "node", "items").mapInArrow(run, f"a long, b long, linked boolean, xs {span}, ys {span}"), f"{label}-verified")
         out = done if out is None else out.unionByName(done)
         release(pairs.sparkSession)
+    discard(per)
     return out
 
 
@@ -200,8 +266,8 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 #: Members of a bucket that are small enough to be paired with each other at once.
 FEW = 16
-#: Pivots that the members of a larger bucket meet.
-PIVOTS = 8
+#: Pivots that the members of a larger bucket meet before those are paired that share rare elements.
+PIVOTS = 2
 
 
 #: The last bits of a sketch's 512 counts, 64 to a column: two sketches differ by at least as much as these bits do.
@@ -242,14 +308,14 @@ def _pivots(many: DataFrame, count: int = PIVOTS) -> DataFrame:
     return each.select("sig", "p.node", "p.comp", "p.bare").distinct()
 
 
-def _sketches(items: DataFrame, sketch: Callable, label: str) -> DataFrame:
+def _sketches(items: DataFrame, content: Callable, sketch: Callable, label: str) -> DataFrame:
     """node, size, sketch (512 counts, 255 at most each) and the counts' last bits."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            contents = [np.frombuffer(x, np.uint64) for x in b.column("items").to_pylist()]
+            contents = [content(x) for x in b.column("items").to_pylist()]
             counts = np.array([sketch(c) for c in contents])
             coarse = np.packbits((counts & 1).astype(np.uint8), axis=1).view("<i8")
             fine = [x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8)]
@@ -277,12 +343,47 @@ def _possible(pairs: DataFrame, sketches: DataFrame, most: Callable) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(keep, "a long, b long")
 
 
-def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, places: bool = False) -> tuple[DataFrame, DataFrame]:
+def _by_rare(open_: DataFrame, items: DataFrame, content: Callable, rare: Callable, limit: str | None, label: str) -> DataFrame:
+    """Pairs of members of large buckets that can still be linked, without pairing all members of a bucket.
+
+    rare(content, codes) gives for each part of a content in which a link can lie its distinct elements and how many of the
+    rarest of them hold one of the link's whatever they are: linked parts share an element that is among the rarest of both.
+    What a large bucket's members have in common is frequent, so it's rarely among them.
+    """
+    extra = [c for c in ("size", *COARSE) if c in open_.columns]
+    wanted = open_.groupBy("node").agg(*[F.first(c).alias(c) for c in ("comp", *extra)], F.bool_or("bare").alias("bare"), F.collect_set("code").alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for node, raw, codes in zip(*(b.column(n).to_pylist() for n in ("node", "items", "codes")), strict=True):
+                for k, (elements, most) in enumerate(rare(content(raw), codes)):
+                    rows.append((node, k, len(elements), most, elements))
+            if not rows:
+                continue
+            node, part, size, most, elements = zip(*rows, strict=True)
+            columns = {n: pa.array(np.repeat(np.array(c, np.int64), size)) for n, c in (("node", node), ("part", part), ("total", size), ("most", most))}
+            yield pa.RecordBatch.from_pydict(columns | {"element": pa.array(np.concatenate(elements).view(np.int64))})
+
+    parts = items.join(wanted.select("node", "codes"), "node").select("node", "items", "codes").mapInArrow(run, "node long, part long, total long, most long, element long")
+    parts = materialize(parts, f"{label}-elements")
+    counts = materialize(parts.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-counts")
+    by = Window.partitionBy("node", "part")
+    shared = parts.join(counts, "element").withColumn("rank", F.row_number().over(by.orderBy("n", "element"))).withColumn("others", F.col("total") - F.count("*").over(by))
+    kept = materialize(shared.where("rank + others <= most").select(F.col("element").alias("sig"), "node").distinct(), f"{label}-rare")
+    release(items.sparkSession)
+    discard(parts, counts)
+    kept = kept.join(wanted.drop("codes"), "node")
+    return _pairs(kept, kept, limit)
+
+
+def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, rare: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, places: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links. members: sig, node.
 
     First each node meets the pivot with which it shares most buckets. Then come the buckets whose members still lie in
-    several components: pairs from different components in those of few members, and several pivots each in larger ones.
-    At last come all pairs of a bucket that still lie in different components, so no link between components is lost.
+    several components: pairs from different components in those of few members, and some pivots each in larger ones.
+    At last come the pairs that still lie in different components: all of a bucket of few members, and in larger ones
+    those that share a rare element (_by_rare), so no link between components is lost.
     places: members also have the place (code) of their signature, and are bare in a bucket while no verified range of theirs
     holds it. Then pairs of which one is bare count like those of different components, so ranges are found besides links; a
     bucket of few members has one pivot before all its pairs that are left.
@@ -293,28 +394,30 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
     pivots = members.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("other")).where("b <> other").select("sig", "b")
     star = members.join(pivots, "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
     best = materialize(_once(star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).selectExpr("a", "m.b as b")), f"{label}-best")
+    release(docs.sparkSession)
     active = members.join(pivots, "sig", "left_semi").select("node").distinct()
     items = fetch(docs, documents, active, content, name, label)
-    seen = verified(best, items, check, f"{label}-best")
-    part = materialize(components(seen.where("linked"), f"{label}-cc"), f"{label}-part")
+    seen = verified(best, items, content, check, f"{label}-best")
+    part = components(seen.where("linked"), f"{label}-cc")
 
-    sketches = _sketches(items, sketch, label) if sketch else None
+    sketches = _sketches(items, content, sketch, label) if sketch else None
 
     def opened() -> DataFrame:
         known = part.join(_spans(seen), "node", "left") if places else part
         bare = "not coalesce(exists(spans, s -> s.begin <= shiftright(code, 20) and shiftright(code, 20) + (code & 1048575) <= s.end), false)"
-        placed = members.join(known, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"), F.expr(bare if places else "false").alias("bare"))
+        code = F.col("code") if places else F.lit(0).cast("long").alias("code")
+        placed = members.join(known, "node", "left").select("sig", "node", code, F.coalesce("comp", "node").alias("comp"), F.expr(bare if places else "false").alias("bare"))
         counted = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.bool_or("bare").alias("any"))
         split = counted.where("n > 1 and (c0 <> c1 or any)").select("sig", "n")
         return materialize(placed.join(split, "sig"), f"{label}-open")
 
     for last in (False, True):
-        open_ = opened()
+        open_ = table = opened()
         if sketch:
             open_ = open_.join(sketches.drop("sketch"), "node")
         few, many = open_.where(F.col("n") <= FEW), open_.where(F.col("n") > FEW)
         if last:
-            pairs = _pairs(open_, open_, limit)
+            pairs = _pairs(few, few, limit).union(_by_rare(many, items, content, rare, limit, label))
         else:
             pivots = _pivots(many)
             if sketch:
@@ -323,13 +426,18 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
             pairs = first.union(_pairs(many, pivots, limit, ordered=False))
         known = seen.select("a", "b").union(seen.selectExpr("b as a", "a as b"))
         pairs = materialize(_once(pairs).join(known, ["a", "b"], "left_anti"), f"{label}-pairs")
+        discard(table)
         release(docs.sparkSession)
         if sketch:
-            pairs = materialize(_possible(pairs, sketches, most), f"{label}-possible")
+            pairs, old = materialize(_possible(pairs, sketches, most), f"{label}-possible"), pairs
+            discard(old)
             release(docs.sparkSession)
         if pairs.limit(1).count():
-            seen = seen.unionByName(verified(pairs, items, check, f"{label}-more"))
-            part = materialize(components(seen.where("linked"), f"{label}-cc"), f"{label}-part")
+            more = verified(pairs, items, content, check, f"{label}-more")
+            seen = seen.unionByName(more)
+            discard(part, pairs)
+            part = components(seen.where("linked"), f"{label}-cc")
+    discard(best, items, sketches)
     return seen, part
 
 
@@ -337,5 +445,6 @@ def smallest(documents: DataFrame, part: DataFrame) -> DataFrame:
     """node, component_id (smallest doc_id in its component), copies, size of every node."""
     nodes = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("size").alias("size"))
     named = nodes.join(part, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join can split a component of many nodes
+    least = materialize(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "comp").select("node", "component_id", "copies", "size")
