@@ -23,7 +23,7 @@ FLUSH_ROWS = 500_000
 #: Pairs of one pivot that one task verifies; a pivot with more is sent to several.
 PIVOT_PAIRS = 256
 #: Bytes that one wave of verification deals out, in terms of all contents.
-WAVE_SHARE = 2
+WAVE_SHARE = 3
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -266,8 +266,8 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 #: Members of a bucket that are small enough to be paired with each other at once.
 FEW = 16
-#: Pivots that the members of a larger bucket meet before those are paired that share rare elements.
-PIVOTS = 2
+#: Partners of a member that is bare in a large bucket.
+PARTNERS = 3
 
 
 #: The last bits of a sketch's 512 counts, 64 to a column: two sketches differ by at least as much as these bits do.
@@ -301,7 +301,7 @@ def _pairs(left: DataFrame, right: DataFrame, limit: str | None = None, ordered:
     return x.join(y, same).select("a", "b")
 
 
-def _pivots(many: DataFrame, count: int = PIVOTS) -> DataFrame:
+def _pivots(many: DataFrame, count: int) -> DataFrame:
     """sig, node, comp, bare: for each bucket its `count` members of the smallest hashes, each under a hash of its own."""
     picks = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node"), F.col("comp"), F.col("bare"))).alias(f"p{t}") for t in range(count)]
     each = many.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*[F.struct(f"p{t}.node", f"p{t}.comp", f"p{t}.bare") for t in range(count)])).alias("p"))
@@ -343,15 +343,14 @@ def _possible(pairs: DataFrame, sketches: DataFrame, most: Callable) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(keep, "a long, b long")
 
 
-def _by_rare(open_: DataFrame, items: DataFrame, content: Callable, rare: Callable, limit: str | None, label: str) -> DataFrame:
-    """Pairs of members of large buckets that can still be linked, without pairing all members of a bucket.
+def _rare(open_: DataFrame, items: DataFrame, content: Callable, rare: Callable, label: str) -> DataFrame:
+    """Buckets (sig, node) of rare elements for members of large buckets: two that can be linked still share one of those.
 
     rare(content, codes) gives for each part of a content in which a link can lie its distinct elements and how many of the
     rarest of them hold one of the link's whatever they are: linked parts share an element that is among the rarest of both.
     What a large bucket's members have in common is frequent, so it's rarely among them.
     """
-    extra = [c for c in ("size", *COARSE) if c in open_.columns]
-    wanted = open_.groupBy("node").agg(*[F.first(c).alias(c) for c in ("comp", *extra)], F.bool_or("bare").alias("bare"), F.collect_set("code").alias("codes"))
+    wanted = open_.groupBy("node").agg(F.collect_set("code").alias("codes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -365,7 +364,7 @@ def _by_rare(open_: DataFrame, items: DataFrame, content: Callable, rare: Callab
             columns = {n: pa.array(np.repeat(np.array(c, np.int64), size)) for n, c in (("node", node), ("part", part), ("total", size), ("most", most))}
             yield pa.RecordBatch.from_pydict(columns | {"element": pa.array(np.concatenate(elements).view(np.int64))})
 
-    parts = items.join(wanted.select("node", "codes"), "node").select("node", "items", "codes").mapInArrow(run, "node long, part long, total long, most long, element long")
+    parts = items.join(wanted, "node").select("node", "items", "codes").mapInArrow(run, "node long, part long, total long, most long, element long")
     parts = materialize(parts, f"{label}-elements")
     counts = materialize(parts.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-counts")
     by = Window.partitionBy("node", "part")
@@ -373,20 +372,19 @@ def _by_rare(open_: DataFrame, items: DataFrame, content: Callable, rare: Callab
     kept = materialize(shared.where("rank + others <= most").select(F.col("element").alias("sig"), "node").distinct(), f"{label}-rare")
     release(items.sparkSession)
     discard(parts, counts)
-    kept = kept.join(wanted.drop("codes"), "node")
-    return _pairs(kept, kept, limit)
+    return kept
 
 
 def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, rare: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, places: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links. members: sig, node.
 
     First each node meets the pivot with which it shares most buckets. Then come the buckets whose members still lie in
-    several components: pairs from different components in those of few members, and some pivots each in larger ones.
-    At last come the pairs that still lie in different components: all of a bucket of few members, and in larger ones
-    those that share a rare element (_by_rare), so no link between components is lost.
+    several components: pairs from different components in those of few members, and a pivot each in larger ones.
+    Members of larger buckets are dealt anew by their rare elements (_rare). At last come all pairs of a bucket of few members
+    or of a rare element that still lie in different components, so no link between components is lost.
     places: members also have the place (code) of their signature, and are bare in a bucket while no verified range of theirs
-    holds it. Then pairs of which one is bare count like those of different components, so ranges are found besides links; a
-    bucket of few members has one pivot before all its pairs that are left.
+    holds it. Until the last round, pairs of which one is bare count like those of different components, so ranges are found
+    besides links: all in buckets of few members; in larger ones, the PARTNERS with which a member shares most rare elements.
     sketch(content): counts that differ in no more than their contents do; pairs whose counts differ by more than
     most(size of one, size of the other), which limit is in SQL, can't be linked and are left out before contents are read.
     """
@@ -411,15 +409,26 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
         split = counted.where("n > 1 and (c0 <> c1 or any)").select("sig", "n")
         return materialize(placed.join(split, "sig"), f"{label}-open")
 
-    for last in (False, True):
+    rare_rows = None
+    for turn in range(3 if places else 2):
+        last = turn == (2 if places else 1)
         open_ = table = opened()
-        if sketch:
-            open_ = open_.join(sketches.drop("sketch"), "node")
         few, many = open_.where(F.col("n") <= FEW), open_.where(F.col("n") > FEW)
+        of = open_.groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or("bare").alias("bare"))
+        if sketch:
+            few, many, of = (t.join(sketches.drop("sketch"), "node") for t in (few, many, of))
+        if turn and rare_rows is None:
+            rare_rows = _rare(table.where(F.col("n") > FEW), items, content, rare, label)
         if last:
-            pairs = _pairs(few, few, limit).union(_by_rare(many, items, content, rare, limit, label))
+            few, dealt = (t.withColumn("bare", F.lit(False)) for t in (few, rare_rows.join(of, "node")))
+            pairs = _pairs(few, few, limit).union(_pairs(dealt, dealt, limit))
+        elif turn:
+            dealt = rare_rows.join(of, "node")
+            near = _pairs(dealt, _pivots(dealt, 2), ordered=False).groupBy("a", "b").agg(F.count("*").alias("n"))
+            near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("rank") <= PARTNERS)
+            pairs = _pairs(few, few).union(near.select("a", "b"))
         else:
-            pivots = _pivots(many)
+            pivots = _pivots(many, 1)
             if sketch:
                 pivots = pivots.join(sketches.drop("sketch"), "node")
             first = _pairs(few, _pivots(few, 1), ordered=False) if places else _pairs(few, few, limit)
@@ -437,6 +446,7 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
             seen = seen.unionByName(more)
             discard(part, pairs)
             part = components(seen.where("linked"), f"{label}-cc")
+    discard(rare_rows)
     discard(best, items, sketches)
     return seen, part
 
