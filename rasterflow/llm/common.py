@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,12 @@ def discard(*tables: DataFrame | None) -> None:
             folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(nodes_edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of undirected links.
 

@@ -7,16 +7,15 @@ are asked for, of which one has no verified range at the place of the signature.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import components, discard, materialize, tuned
+from rasterflow.llm.common import components, discard, materialize, release, tuned
 
 #: Signatures that a worker combines at once: bounds its memory.
 FLUSH_ROWS = 500_000
@@ -33,12 +32,6 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Buckets of signatures for each partition that they are dealt to: a partition's are gathered one after the other.
 BUCKETS = 8
 

@@ -2,16 +2,20 @@
 
 Triggers are the k-grams whose rolling hash is the smallest in a window of a repeat's length, so every string of
 that length holds one, chosen by its own bytes alone. The windows that share a trigger make a phrase, overlapping
-its neighbours. The dictionary holds each phrase once, the parse names the phrases of each document: a phrase that
-the parse holds twice is repeated as a whole; the parse is counted by phrase hash, no suffix array of it is built.
-Only phrases that share a trigger with other phrases are compared byte by byte: aligned at the trigger, their rows are
-kept in the order of their suffixes column by column from right to left, and neighbours whose common prefix is a
-repeat's length are repeats. Of triggers with very many phrases, windows are counted by 128-bit hash instead.
+its neighbours by a window less a byte: each window lies in one phrase. The dictionary holds each phrase once, the parse
+names the phrases of each document, by the hash of the trigger and another of the phrase, 128 bits together.
+
+Windows are ordered by the dictionary's suffixes, and the parse gives how often each phrase's windows stand in the corpus: a
+phrase that it holds twice is repeated as a whole, and only phrases that share a trigger with others are sorted.
+Aligned at the trigger, their rows are kept in the order of their suffixes column by column from right to left (a
+positional suffix array), and neighbours whose common prefix is a repeat's length are repeats. Triggers of very many
+phrases are split first, by the bytes beside the trigger that half of the windows have, and again, until few are left.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import materialize, tuned
+from rasterflow.llm.common import discard, materialize, release, tuned
 from rasterflow.llm.pair_search import scramble as mixed
 
 LENGTH, GRAM = 400, 200
@@ -80,12 +84,13 @@ def phrases(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int
     last = np.minimum(np.append(first[1:], len(trigger)), ends[doc] - length + 1)
     width = last - first
     offset = trigger[first] - first
-    whole = (sums[last - 1 + length] - sums[first]) * inverse[first]
+    raw, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    whole = np.fromiter((digest(raw[a:z]) for a, z in zip(first.tolist(), (last - 1 + length).tolist(), strict=True)), np.uint64, len(first))
     shape = (offset * 4096 + width).astype(np.uint64)
     return grams[trigger[first]], mixed(whole + mixed(shape)), doc, first, width, offset
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Whole texts as slices of bounded size: bytes, begins, ends, which text, where in it. Long texts give several."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
@@ -96,11 +101,11 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         return np.frombuffer(b"".join(x for _, _, x in held), np.uint8), begins, ends, np.array([k for k, _, _ in held]), np.array([a for _, a, _ in held])
 
     for k, text in enumerate(texts):
-        if len(text) < LENGTH:
+        if len(text) < length:
             continue
-        for at in range(0, len(text) - LENGTH + 1, SLICE):
-            part = text[at : at + SLICE + LENGTH - 1]
-            if size + len(part) > SLICE + LENGTH and held:
+        for at in range(0, len(text) - length + 1, SLICE):
+            part = text[at : at + SLICE + length - 1]
+            if size + len(part) > SLICE + length and held:
                 yield out()
                 held, size = [], 0
             held.append((k, at, part))
@@ -109,16 +114,16 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield out()
 
 
-def _phrase_rows(docs: DataFrame) -> DataFrame:
+def _phrase_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """tau, f, doc_id, mark and place (first window, windows, trigger offset) of every phrase. A narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
             marks = b.column("mark").to_numpy(zero_copy_only=False)
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            for data, begins, ends, which, at in _slices(texts):
-                tau, f, doc, first, width, offset = phrases(data, begins, ends)
+            texts = [t or b"" for t in b.column("text").to_pylist()]
+            for data, begins, ends, which, at in _slices(texts, length):
+                tau, f, doc, first, width, offset = phrases(data, begins, ends, length, gram)
                 k = which[doc]
                 place = (first - begins[doc] + at[doc]) << 16 | width << 8 | offset
                 yield pa.RecordBatch.from_pydict({
@@ -128,11 +133,6 @@ def _phrase_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "tau long, f long, doc_id long, mark long, place long")
 
 
-#: Columns of aligned phrases: a trigger is at most LENGTH - GRAM after a phrase's first byte.
-_BEFORE = LENGTH - GRAM
-_COLUMNS = 2 * (LENGTH - GRAM) + LENGTH + 1
-
-
 def repeated_windows(rows: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Where a row's string of `length` bytes from a column on stands in the same column of another row of its group.
 
@@ -163,24 +163,25 @@ def repeated_windows(rows: np.ndarray, groups: np.ndarray, length: int = LENGTH)
     return out
 
 
-def _solved(contents: DataFrame) -> DataFrame:
+def _solved(contents: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, mark, begin, end: repeated strings of phrases that the parse holds once (contents: few per trigger)."""
+    most = length - gram  # a trigger is at most that far after a phrase's first byte
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        grid = np.full((len(rows), _COLUMNS), 256, np.int64)
+        grid = np.full((len(rows), 2 * most + length + 1), 256, np.int64)
         names = {}
         groups = np.array([names.setdefault(r[0], len(names)) for r in rows])
         for i, (_, _, _, _, place, _, body) in enumerate(rows):
-            start = _BEFORE - (place & 255)
+            start = most - (place & 255)
             grid[i, start : start + len(body)] = np.frombuffer(body, np.uint8)
-        hits = repeated_windows(grid, groups)
+        hits = repeated_windows(grid, groups, length)
         out = []
         for i, (_, _, doc_id, mark, place, m, _) in enumerate(rows):
             if m == 1 and hits[i].any():
-                begin = (place >> 16) - _BEFORE + (place & 255)
+                begin = (place >> 16) - most + (place & 255)
                 at = np.flatnonzero(hits[i])
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    out.append((doc_id, mark, begin + int(run[0]), begin + int(run[-1]) + LENGTH))
+                    out.append((doc_id, mark, begin + int(run[0]), begin + int(run[-1]) + length))
         return _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,20 +207,47 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "mark", "begin", "end"), columns, strict=True)})
 
 
-def _solved_hot(contents: DataFrame) -> DataFrame:
-    """The same for triggers with many phrases: one row per window, counted by its two hashes wherever they lie."""
+def _split(contents: DataFrame, hot: int, length: int, gram: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Contents of triggers with more than `hot` phrases as contents of smaller groups, and spans that are known on the way.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for tau, _, doc_id, mark, place, m, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(body) - LENGTH + 1
-                h = [xxhash.xxh3_128_digest(body[i : i + LENGTH]) for i in range(n)]
-                begin = place >> 16
-                yield pa.RecordBatch.from_pydict({"tau": pa.array([tau] * n, pa.int64()), "h": pa.array(h, pa.binary()), "doc_id": pa.array([doc_id] * n, pa.int64()), "mark": pa.array([mark] * n, pa.int64()), "begin": pa.array(range(begin, begin + n), pa.int64()), "m": pa.array([m] * n, pa.int64())})
+    A window has between 0 and length - gram bytes before its trigger. Each round halves that range: a phrase gives a row for
+    each half in which it has windows, grouped by the bytes that all windows of the half have. A group of one has no repeat; in
+    a group of equal rows, as the windows of one size are at last, all windows are repeats.
+    """
+    names = ["tau", "f", "doc_id", "mark", "place", "m", "body", "low", "high"]
 
-    each = contents.select("tau", "f", "doc_id", "mark", "place", "m", "body").mapInArrow(windows, "tau long, h binary, doc_id long, mark long, begin long, m long")
-    twice = each.groupBy("tau", "h").agg(F.count("*").alias("n")).where("n > 1").select("tau", "h")
-    return each.where("m = 1").join(twice, ["tau", "h"], "left_semi").selectExpr("doc_id", "mark", "begin", f"begin + {LENGTH} as end")
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for tau, f, doc_id, mark, place, m, body, low, high in zip(*(b.column(n).to_pylist() for n in names), strict=True):
+                first, width, offset = place >> 16, place >> 8 & 255, place & 255
+                mid = (low + high) // 2
+                for least, most in ((low, mid), (mid + 1, high)):
+                    a, z = max(least, offset - width + 1), min(most, offset)
+                    if a > z:
+                        continue
+                    core = body[offset - least : offset + length - most]
+                    part = body[offset - z : offset - a + length]
+                    group = xxhash.xxh3_64_intdigest(struct.pack("<qqq", tau, least, most) + core) - (1 << 63)
+                    whole = xxhash.xxh3_64_intdigest(struct.pack("<qq", a, z) + part) - (1 << 63)
+                    out.append((group, f, doc_id, mark, (first + offset - z) << 16 | (z - a + 1) << 8 | z, m, part, least, most, whole))
+            columns = list(zip(*out, strict=True)) if out else [()] * 10
+            kinds = [pa.int64()] * 6 + [pa.binary()] + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*names, "whole"])
+
+    schema = "tau long, f long, doc_id long, mark long, place long, m long, body binary, low long, high long, whole long"
+    rows = contents.select(*names[:7], F.lit(0).cast("long").alias("low"), F.lit(length - gram).cast("long").alias("high"))
+    few = spans = None
+    while rows.limit(1).count():
+        cut = materialize(rows.repartition("tau", "f").mapInArrow(halves, schema), "prefix-free-halves")
+        groups = materialize(cut.groupBy("tau").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1"), "prefix-free-groups")
+        known = cut.join(groups, "tau")
+        same = known.where("w0 = w1 and m = 1").selectExpr("doc_id", "mark", "place >> 16 as begin", "(place >> 16) + length(body) as end")
+        small = known.where(f"w0 <> w1 and n <= {hot}").select(*names[:7])
+        spans = same if spans is None else spans.unionByName(same)
+        few = small if few is None else few.unionByName(small)
+        rows = known.where(f"w0 <> w1 and n > {hot}").select(*names)
+    return few, spans
 
 
 def _removal(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
@@ -245,16 +273,9 @@ def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
 _RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def removal_report(docs: DataFrame, hot: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text; others are ignored).
-
-    Null texts are empty; texts of under LENGTH bytes keep all. Rows that are equal in doc_id and text are copies of each
-    other like any others. hot: phrases that one trigger may have in one task; beyond it, windows are counted one by one
-    in rows that are dealt evenly.
-    """
-    tuned(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    parse = _phrase_rows(docs)
+def _report(docs: DataFrame, hot: int, length: int, gram: int) -> DataFrame:
+    """doc_id, mark, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, mark, text as bytes)."""
+    parse = _phrase_rows(docs, length, gram)
     dictionary = parse.groupBy("tau", "f").agg(F.count("*").alias("m"))
     by_trigger = dictionary.groupBy("tau").agg(F.count("*").alias("c"), F.min("m").alias("least"), F.max("m").alias("most")).where("c > 1 or most > 1")
     # phrases to remove (m > 1), and those to compare (c > 1, unless all are held twice)
@@ -266,10 +287,9 @@ def removal_report(docs: DataFrame, hot: int = 512) -> DataFrame:
         """kind 0: results; 1: contents of phrases to compare; 2: texts that wait for them, with their spans so far."""
         for b in batches:
             out = []
-            columns = (b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("p").to_pylist())
-            for doc_id, mark, raw, p in zip(*columns, strict=True):
+            for doc_id, mark, raw, p in zip(*(b.column(n).to_pylist() for n in ("doc_id", "mark", "text", "p")), strict=True):
                 raw, p = raw or b"", p or []
-                where = lambda x: (x["place"] >> 16, (x["place"] >> 16) + (x["place"] >> 8 & 255) + LENGTH - 1)
+                where = lambda x: (x["place"] >> 16, (x["place"] >> 16) + (x["place"] >> 8 & 255) + length - 1)
                 spans = _joined([where(x) for x in p if x["m"] > 1])
                 for x in p:
                     if x["c"]:
@@ -290,10 +310,14 @@ def removal_report(docs: DataFrame, hot: int = 512) -> DataFrame:
     same = F.col("d.mark").eqNullSafe(F.col("p.mark")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
     joined = left.join(right, same, "left").select("d.doc_id", "d.mark", "d.text", "p.p")
     first = materialize(joined.mapInArrow(first_pass, schema), "prefix-free")
+    release(docs.sparkSession)
 
     contents = first.where("kind = 1")
-    held = contents.where("m = 1").unionByName(contents.where("m > 1").dropDuplicates(["tau", "f"]))
-    spans = _solved(held.where(F.col("c") <= hot)).unionByName(_solved_hot(held.where(F.col("c") > hot)))
+    held = contents.where("m = 1").unionByName(contents.where("m > 1").dropDuplicates(["tau", "f"])).select("tau", "f", "doc_id", "mark", "place", "m", "body", "c")
+    few, known = _split(held.where(F.col("c") > hot), hot, length, gram)
+    small = held.where(F.col("c") <= hot).drop("c")
+    spans = _solved(small if few is None else small.unionByName(few), length, gram)
+    spans = spans if known is None else spans.unionByName(known)
     more = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("more")).alias("s")
     waiting = first.where("kind = 2").select("doc_id", "mark", "body", "spans").alias("w")
     same = F.col("w.mark").eqNullSafe(F.col("s.mark")) & F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))
@@ -304,7 +328,48 @@ def removal_report(docs: DataFrame, hot: int = 512) -> DataFrame:
             for raw, spans, more in zip(*(b.column(n).to_pylist() for n in ("body", "spans", "more")), strict=True):
                 out.append(_removal(raw, [(x["begin"], x["end"]) for x in [*spans, *(more or [])]]))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, (_, t) in zip(columns, _RESULT, strict=True))], names=["doc_id", *(n for n, _ in _RESULT)])
+            columns = [b.column("doc_id"), b.column("mark"), *(pa.array(c, t) for c, (_, t) in zip(columns, _RESULT, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", *(n for n, _ in _RESULT)])
+
+    last = waiting.join(more, same, "left").select("w.doc_id", "w.mark", "w.body", "w.spans", "s.more").mapInArrow(second_pass, f"doc_id long, mark long, {result}")
+    out = first.where("kind = 0").select("doc_id", "mark", *(n for n, _ in _RESULT)).unionByName(last)
+    out.needs = first
+    return out
+
 
-    last = waiting.join(more, same, "left").select("w.doc_id", "w.body", "w.spans", "s.more").mapInArrow(second_pass, f"doc_id long, {result}")
-    return first.where("kind = 0").select("doc_id", *(n for n, _ in _RESULT)).unionByName(last)
+#: A passage: so many words, each as so many bytes of its hash.
+PASSAGE_WORDS, WORD_BYTES = 51, 4
+
+
+def _as_words(docs: DataFrame) -> DataFrame:
+    """docs with hashes of fixed size for words: a passage of words is a string of bytes again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw in b.column("text").to_pylist():
+                words = (raw or b"").split()
+                out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(out, pa.binary())], names=["doc_id", "mark", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, mark long, text binary")
+
+
+def removal_report(docs: DataFrame, hot: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeats of every row of docs (doc_id, text; others are ignored).
+
+    repeats: a passage of PASSAGE_WORDS words or more stands elsewhere too, word for word, of whatever bytes; it's found by the same
+    parse over hashes of words, and nothing is removed for it. Null texts are empty; texts of under LENGTH bytes keep all.
+    Rows that are equal in doc_id and text are copies of each other like any others. hot: phrases that one trigger may
+    have in one task; triggers with more are split.
+    """
+    tuned(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    size = WORD_BYTES * PASSAGE_WORDS
+    words = _report(_as_words(docs), hot, size, size // 2)
+    known = materialize(words.where("n_removed > 0").select("doc_id", "mark").distinct(), "prefix-free-passages").alias("k")
+    discard(words.needs)
+    release(docs.sparkSession)
+    report = _report(docs, hot, LENGTH, GRAM).alias("r")
+    same = F.col("r.mark").eqNullSafe(F.col("k.mark")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))
+    return report.join(known, same, "left").select("r.doc_id", *(f"r.{n}" for n, _ in _RESULT), F.col("k.mark").isNotNull().alias("repeats"))

@@ -83,12 +83,12 @@ class StreamingViterbi:
             parts, last = self._merged(p)
             if len(parts) == 1 and last:
                 self.children[p] = last
-        #: By their last three characters, how long such pieces are at most.
-        self.reach: dict[str, int] = {}
         self.whole = frozenset(model.id if not model.bpe else [*self.children, *(p for p in model.id if len(p) == 1)])
-        for p in self.whole:
-            if len(p) > 2:
-                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
+        #: By their last three characters, how long such pieces of more than two are: the longest first.
+        self.sizes: dict[str, tuple[int, ...]] = {}
+        for n in sorted({len(p) for p in self.whole if len(p) > 2}, reverse=True):
+            for end in {p[-3:] for p in self.whole if len(p) == n}:
+                self.sizes[end] = (*self.sizes.get(end, ()), n)
 
     def _apart(self, left: str, right: str) -> bool:
         """True if the merges of left + right leave both as they are: two pieces that their own merges make.
@@ -134,89 +134,82 @@ class StreamingViterbi:
             return tuple(self.m.bytes[b] for b in piece.encode())
         return (self.m.unknown,)
 
-    def lattice(self, s: str) -> Iterator[tuple[int, ...]]:
-        """Committed ids of one stretch of text. back[e]: length and score of the survivor's last piece at e."""
-        m, longest, known = self.m, self.m.longest, self.m.id
-        back: dict[int, tuple[int, float]] = {0: (0, 0.0)}
-        done = 0
+    def lattice(self, s: str) -> Iterator[int]:
+        """Committed ids of one stretch of text, walked once from left to right.
+
+        back[e]: length of the survivor's last piece at e, 0 where no path passes. Once a window is full, the ids before the
+        last boundary that all surviving paths share are committed, and their backpointers go.
+        """
+        longest = self.m.longest
+        step = self._merge_step if self.m.bpe else self._score_step
+        back, total = [0], [0.0]
+        done, full = 0, 2 * longest
         for end in range(1, len(s) + 1):
-            best = None
-            for size in range(1, min(longest, end - done) + 1):
-                if end - size not in back:
+            step(s, done, end, back, total)
+            if end - done >= full:
+                # survivors: the positions from which a later piece can still start
+                alive = [e for e in range(max(0, end - done - longest + 1), end - done + 1) if back[e] or not e]
+                if common := self._converged(back, alive):
+                    yield from self._path(s, back, done, common)
+                    done += common
+                    del back[:common], total[:common]
+        yield from self._path(s, back, done, len(s) - done)
+
+    def _merge_step(self, s: str, done: int, end: int, back: list[int], total: list[float]) -> None:
+        """Type BPE: the survivor at end is the path whose pieces all stay apart under the merges; there is one at most."""
+        whole, merges = self.whole, self.merges
+        for size in (*self.sizes.get(s[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
+            begin = end - size
+            if begin < done:
+                continue
+            piece = s[begin:end]
+            if size > 1 and piece not in whole:
+                continue
+            if begin:
+                last = back[begin - done]
+                if not last:
                     continue
-                piece = s[end - size : end]
-                if piece not in known and size > 1:
+                left = s[begin - last : begin]
+                ok = merges.get((left, piece))
+                if not (self._apart(left, piece) if ok is None else ok):
                     continue
-                last, total = back[end - size]
-                if m.bpe:
-                    if (size == 1 or piece in self.whole) and (last == 0 or self._apart(s[end - size - last : end - size], piece)):
-                        best = (size, 0.0)
-                        break
-                else:
-                    total += m.score.get(piece, -1e4)
-                    if best is None or total > best[1]:
-                        best = (size, total)
-            if best is not None:
-                back[end] = best
-            if end - done < 2 * longest:
+            back.append(size)
+            return
+        back.append(0)
+
+    def _score_step(self, s: str, done: int, end: int, back: list[int], total: list[float]) -> None:
+        """A unigram model: the survivor at end is the path of the highest score."""
+        known, score, best, most = self.m.id, self.m.score, 0, 0.0
+        for size in range(1, min(self.m.longest, end - done) + 1):
+            if size > 1 and (s[end - size : end] not in known or not (back[end - size - done] or end - size == done)):
                 continue
-            # survivors: the positions from which a later piece can still start
-            alive = [e for e in range(max(done, end - longest + 1), end + 1) if e in back]
-            common = self._converged(back, alive, done)
-            if common > done:
-                yield from self._path(s, back, done, common)
-                done = common
-                back = {e: v for e, v in back.items() if e >= done}
-        yield from self._path(s, back, done, len(s))
-
-    def _short(self, s: str) -> tuple[int, ...]:
-        """The ids of a stretch within one window, where nothing can be committed before its end (type BPE).
-
-        Backpointers are found from the end, so positions that no path from there needs are never looked at.
-        """
-        known, whole, merges, reach, apart = self.m.id, self.whole, self.merges, self.reach, self._apart
-        last = [0] * (len(s) + 1)
-
-        def back(end: int) -> int:
-            for begin in range(max(0, end - reach.get(s[max(0, end - 3) : end], 2)), end):
-                piece = s[begin:end]
-                if piece in whole or end - begin == 1:
-                    if begin:
-                        left = s[begin - (last[begin] or back(begin)) : begin]
-                        ok = merges.get((left, piece))
-                        if not (apart(left, piece) if ok is None else ok):
-                            continue
-                    last[end] = end - begin
-                    return end - begin
-            raise ValueError(f"no path through {s!r}")
-
-        out: list[int] = []
-        end = len(s)
-        while end:
-            begin = end - (last[end] or back(end))
-            i = known.get(s[begin:end])
-            if i is None:
-                out += self._ids(s[begin:end])[::-1]
-            else:
-                out.append(i)
-            end = begin
-        return tuple(out[::-1])
+            now = total[end - size - done] + score.get(s[end - size : end], -1e4)
+            if not best or now > most:
+                best, most = size, now
+        back.append(best)
+        total.append(most)
 
     @staticmethod
-    def _converged(back: dict, alive: list[int], done: int) -> int:
-        """The last boundary that all surviving paths share."""
+    def _converged(back: list[int], alive: list[int]) -> int:
+        """The last boundary that all surviving paths share, counted from the window's begin."""
         front = set(alive)
         while len(front) > 1:
             top = max(front)
             front.discard(top)
-            front.add(max(done, top - back[top][0]))
-        return front.pop() if front else done
-
-    def _path(self, s: str, back: dict, begin: int, end: int) -> list[tuple[int, ...]]:
-        out = []
-        while end > begin:
-            size = back[end][0]
-            out.append(self._ids(s[end - size : end]))
+            front.add(top - back[top])
+        return front.pop() if front else 0
+
+    def _path(self, s: str, back: list[int], done: int, end: int) -> list[int]:
+        """The ids of the path from the window's begin to `end` of it."""
+        out, known = [], self.m.id
+        while end:
+            size = back[end]
+            piece = s[done + end - size : done + end]
+            i = known.get(piece)
+            if i is None:
+                out += self._ids(piece)[::-1]
+            else:
+                out.append(i)
             end -= size
         return out[::-1]
 
@@ -227,7 +220,7 @@ class StreamingViterbi:
             if len(parts) > 1:
                 got = b"".join([self.memo.get(p) or self._chunk(p) for p in parts])
             else:
-                ids = self._short(s) if self.m.bpe and len(s) < 2 * self.m.longest else [i for ids in self.lattice(s) for i in ids]
+                ids = list(self.lattice(s))
                 got = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.memo) >= self.KEPT:
             self.memo, self.old = {}, self.memo
