@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from rasterflow.llm.common import discard, materialize, release, tuned
 from rasterflow.llm.pair_search import scramble as mixed
 
-LENGTH, GRAM = 400, 200
-#: Bytes that are hashed at once: bounds a worker's memory. Positions within a slice fit in 22 bits.
-SLICE = 1 << 21
+LENGTH, GRAM = 400, 100
+#: Bytes that are hashed at once: bounds a worker's memory. Positions within a slice fit in 21 bits.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -68,7 +68,7 @@ def phrases(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values[data] * power[:n], out=sums[1:])
     grams = mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    mask = np.uint64((1 << 22) - 1)
+    mask = np.uint64((1 << 21) - 1)
     packed = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     trigger = (_least(packed, length - gram + 1) & mask).astype(np.int64)
     # windows lie within one document
@@ -114,18 +114,18 @@ def _slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield out()
 
 
-def _phrase_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """tau, f, doc_id, mark and place (first window, windows, trigger offset) of every phrase. A narrow map."""
+def _phrase_rows(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
+    """tau, f, doc_id, mark and place (first window, windows, trigger offset) of every phrase of units(text). A narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
             marks = b.column("mark").to_numpy(zero_copy_only=False)
-            texts = [t or b"" for t in b.column("text").to_pylist()]
+            texts = [units(t or b"") for t in b.column("text").to_pylist()]
             for data, begins, ends, which, at in _slices(texts, length):
                 tau, f, doc, first, width, offset = phrases(data, begins, ends, length, gram)
                 k = which[doc]
-                place = (first - begins[doc] + at[doc]) << 16 | width << 8 | offset
+                place = (first - begins[doc] + at[doc]) << 20 | width << 10 | offset
                 yield pa.RecordBatch.from_pydict({
                     "tau": pa.array(tau.view(np.int64)), "f": pa.array(f.view(np.int64)), "doc_id": ids.take(pa.array(k)), "mark": pa.array(marks[k]), "place": pa.array(place),
                 })
@@ -172,13 +172,13 @@ def _solved(contents: DataFrame, length: int, gram: int) -> DataFrame:
         names = {}
         groups = np.array([names.setdefault(r[0], len(names)) for r in rows])
         for i, (_, _, _, _, place, _, body) in enumerate(rows):
-            start = most - (place & 255)
+            start = most - (place & 1023)
             grid[i, start : start + len(body)] = np.frombuffer(body, np.uint8)
         hits = repeated_windows(grid, groups, length)
         out = []
         for i, (_, _, doc_id, mark, place, m, _) in enumerate(rows):
             if m == 1 and hits[i].any():
-                begin = (place >> 16) - most + (place & 255)
+                begin = (place >> 20) - most + (place & 1023)
                 at = np.flatnonzero(hits[i])
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     out.append((doc_id, mark, begin + int(run[0]), begin + int(run[-1]) + length))
@@ -220,7 +220,7 @@ def _split(contents: DataFrame, hot: int, length: int, gram: int) -> tuple[DataF
         for b in batches:
             out = []
             for tau, f, doc_id, mark, place, m, body, low, high in zip(*(b.column(n).to_pylist() for n in names), strict=True):
-                first, width, offset = place >> 16, place >> 8 & 255, place & 255
+                first, width, offset = place >> 20, place >> 10 & 1023, place & 1023
                 mid = (low + high) // 2
                 for least, most in ((low, mid), (mid + 1, high)):
                     a, z = max(least, offset - width + 1), min(most, offset)
@@ -230,7 +230,7 @@ def _split(contents: DataFrame, hot: int, length: int, gram: int) -> tuple[DataF
                     part = body[offset - z : offset - a + length]
                     group = xxhash.xxh3_64_intdigest(struct.pack("<qqq", tau, least, most) + core) - (1 << 63)
                     whole = xxhash.xxh3_64_intdigest(struct.pack("<qq", a, z) + part) - (1 << 63)
-                    out.append((group, f, doc_id, mark, (first + offset - z) << 16 | (z - a + 1) << 8 | z, m, part, least, most, whole))
+                    out.append((group, f, doc_id, mark, (first + offset - z) << 20 | (z - a + 1) << 10 | z, m, part, least, most, whole))
             columns = list(zip(*out, strict=True)) if out else [()] * 10
             kinds = [pa.int64()] * 6 + [pa.binary()] + [pa.int64()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*names, "whole"])
@@ -242,7 +242,7 @@ def _split(contents: DataFrame, hot: int, length: int, gram: int) -> tuple[DataF
         cut = materialize(rows.repartition("tau", "f").mapInArrow(halves, schema), "prefix-free-halves")
         groups = materialize(cut.groupBy("tau").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1"), "prefix-free-groups")
         known = cut.join(groups, "tau")
-        same = known.where("w0 = w1 and m = 1").selectExpr("doc_id", "mark", "place >> 16 as begin", "(place >> 16) + length(body) as end")
+        same = known.where("w0 = w1 and m = 1").selectExpr("doc_id", "mark", "shiftright(place, 20) as begin", "shiftright(place, 20) + length(body) as end")
         small = known.where(f"w0 <> w1 and n <= {hot}").select(*names[:7])
         spans = same if spans is None else spans.unionByName(same)
         few = small if few is None else few.unionByName(small)
@@ -273,15 +273,43 @@ def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
 _RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def _report(docs: DataFrame, hot: int, length: int, gram: int) -> DataFrame:
-    """doc_id, mark, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, mark, text as bytes)."""
-    parse = _phrase_rows(docs, length, gram)
-    dictionary = parse.groupBy("tau", "f").agg(F.count("*").alias("m"))
+def _found(docs: DataFrame, units: Callable, length: int, gram: int, label: str) -> DataFrame:
+    """doc_id, mark and p (place, m, c, tau, f) of phrases that the parse holds twice (m > 1) or whose trigger has others (c > 1)."""
+    parse = _phrase_rows(docs, units, length, gram)
+    dictionary = materialize(parse.groupBy("tau", "f").agg(F.count("*").alias("m")), f"{label}-dictionary")
     by_trigger = dictionary.groupBy("tau").agg(F.count("*").alias("c"), F.min("m").alias("least"), F.max("m").alias("most")).where("c > 1 or most > 1")
     # phrases to remove (m > 1), and those to compare (c > 1, unless all are held twice)
     wanted = dictionary.join(by_trigger, "tau").where("m > 1 or c > 1").selectExpr("tau", "f", "m", "if(c > 1 and least = 1, c, 0L) as c")
-    found = parse.join(wanted, ["tau", "f"]).select("doc_id", "mark", F.struct("place", "m", "c", "tau", "f").alias("p"))
-    per_text = found.groupBy("doc_id", "mark").agg(F.collect_list("p").alias("p"))
+    wanted = materialize(wanted, f"{label}-wanted")
+    discard(dictionary)
+    release(docs.sparkSession)
+    return parse.join(wanted, ["tau", "f"]).select("doc_id", "mark", F.struct("place", "m", "c", "tau", "f").alias("p"))
+
+
+def _spans(contents: DataFrame, hot: int, length: int, gram: int) -> DataFrame:
+    """doc_id, mark, begin, end of repeats in phrases that the parse holds once, from contents of all phrases of their triggers."""
+    held = contents.where("m = 1").unionByName(contents.where("m > 1").dropDuplicates(["tau", "f"])).select("tau", "f", "doc_id", "mark", "place", "m", "body", "c")
+    few, known = _split(held.where(F.col("c") > hot), hot, length, gram)
+    small = held.where(F.col("c") <= hot).drop("c")
+    spans = _solved(small if few is None else small.unionByName(few), length, gram)
+    return spans if known is None else spans.unionByName(known)
+
+
+def _with_phrases(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs with p, the list of their phrases in found."""
+    left, right = docs.alias("d"), found.groupBy("doc_id", "mark").agg(F.collect_list("p").alias("p")).alias("p")
+    same = F.col("d.mark").eqNullSafe(F.col("p.mark")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
+    return left.join(right, same, how).select("d.doc_id", "d.mark", "d.text", "p.p")
+
+
+def _place(x: dict, length: int) -> tuple[int, int]:
+    """Begin and end of a phrase."""
+    return x["place"] >> 20, (x["place"] >> 20) + (x["place"] >> 10 & 1023) + length - 1
+
+
+def _report(docs: DataFrame, hot: int, length: int, gram: int) -> DataFrame:
+    """doc_id, mark, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, mark, text as bytes)."""
+    found = _found(docs, bytes, length, gram, "prefix-free")
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: results; 1: contents of phrases to compare; 2: texts that wait for them, with their spans so far."""
@@ -289,11 +317,10 @@ def _report(docs: DataFrame, hot: int, length: int, gram: int) -> DataFrame:
             out = []
             for doc_id, mark, raw, p in zip(*(b.column(n).to_pylist() for n in ("doc_id", "mark", "text", "p")), strict=True):
                 raw, p = raw or b"", p or []
-                where = lambda x: (x["place"] >> 16, (x["place"] >> 16) + (x["place"] >> 8 & 255) + length - 1)
-                spans = _joined([where(x) for x in p if x["m"] > 1])
+                spans = _joined([_place(x, length) for x in p if x["m"] > 1])
                 for x in p:
                     if x["c"]:
-                        begin, end = where(x)
+                        begin, end = _place(x, length)
                         out.append((1, doc_id, mark, x["tau"], x["f"], x["place"], x["m"], x["c"], raw[begin:end], None, None, None, None, None))
                 if any(x["c"] and x["m"] == 1 for x in p):
                     out.append((2, doc_id, mark, None, None, None, None, None, raw, [{"begin": a, "end": z} for a, z in spans], None, None, None, None))
@@ -306,18 +333,10 @@ def _report(docs: DataFrame, hot: int, length: int, gram: int) -> DataFrame:
     types = [pa.int8(), *[pa.int64()] * 7, pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), *(t for _, t in _RESULT)]
     result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = f"kind byte, doc_id long, mark long, tau long, f long, place long, m long, c long, body binary, spans array<struct<begin:long,end:long>>, {result}"
-    left, right = docs.alias("d"), per_text.alias("p")
-    same = F.col("d.mark").eqNullSafe(F.col("p.mark")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
-    joined = left.join(right, same, "left").select("d.doc_id", "d.mark", "d.text", "p.p")
-    first = materialize(joined.mapInArrow(first_pass, schema), "prefix-free")
+    first = materialize(_with_phrases(docs, found, "left").mapInArrow(first_pass, schema), "prefix-free")
     release(docs.sparkSession)
 
-    contents = first.where("kind = 1")
-    held = contents.where("m = 1").unionByName(contents.where("m > 1").dropDuplicates(["tau", "f"])).select("tau", "f", "doc_id", "mark", "place", "m", "body", "c")
-    few, known = _split(held.where(F.col("c") > hot), hot, length, gram)
-    small = held.where(F.col("c") <= hot).drop("c")
-    spans = _solved(small if few is None else small.unionByName(few), length, gram)
-    spans = spans if known is None else spans.unionByName(known)
+    spans = _spans(first.where("kind = 1"), hot, length, gram)
     more = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("more")).alias("s")
     waiting = first.where("kind = 2").select("doc_id", "mark", "body", "spans").alias("w")
     same = F.col("w.mark").eqNullSafe(F.col("s.mark")) & F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))
@@ -332,27 +351,47 @@ def _report(docs: DataFrame, hot: int, length: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", *(n for n, _ in _RESULT)])
 
     last = waiting.join(more, same, "left").select("w.doc_id", "w.mark", "w.body", "w.spans", "s.more").mapInArrow(second_pass, f"doc_id long, mark long, {result}")
-    out = first.where("kind = 0").select("doc_id", "mark", *(n for n, _ in _RESULT)).unionByName(last)
-    out.needs = first
-    return out
+    return first.where("kind = 0").select("doc_id", "mark", *(n for n, _ in _RESULT)).unionByName(last)
 
 
-#: A passage: so many words, each as so many bytes of its hash.
-PASSAGE_WORDS, WORD_BYTES = 51, 4
+#: A passage: so many words, each as so many bytes of its hash; words of a trigger.
+PASSAGE_WORDS, WORD_BYTES, TRIGGER_WORDS = 51, 4, 12
 
 
-def _as_words(docs: DataFrame) -> DataFrame:
-    """docs with hashes of fixed size for words: a passage of words is a string of bytes again."""
+def _as_words(raw: bytes) -> bytes:
+    """Hashes of fixed size for words: a passage of words is a string of bytes again."""
+    words = raw.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype("<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_passage(docs: DataFrame, hot: int) -> DataFrame:
+    """doc_id, mark of rows with a passage of words that stands elsewhere too."""
+    length, gram = WORD_BYTES * PASSAGE_WORDS, WORD_BYTES * TRIGGER_WORDS
+    found = _found(docs, _as_words, length, gram, "passages")
+    found = materialize(found, "passages-found")
+    release(docs.sparkSession)
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for raw in b.column("text").to_pylist():
-                words = (raw or b"").split()
-                out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(out, pa.binary())], names=["doc_id", "mark", "text"])
-
-    return docs.mapInArrow(run, "doc_id long, mark long, text binary")
+            for doc_id, mark, raw, p in zip(*(b.column(n).to_pylist() for n in ("doc_id", "mark", "text", "p")), strict=True):
+                raw = _as_words(raw or b"")
+                for x in p:
+                    begin, end = _place(x, length)
+                    out.append((x["tau"], x["f"], doc_id, mark, x["place"], x["m"], raw[begin:end], x["c"]))
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.binary(), pa.int64()], strict=True)], names=names)
+
+    names = ["tau", "f", "doc_id", "mark", "place", "m", "body", "c"]
+    open_ = found.where("p.c > 0")
+    got = _with_phrases(docs, open_, "inner").mapInArrow(contents, "tau long, f long, doc_id long, mark long, place long, m long, body binary, c long")
+    got = materialize(got, "passages-contents")
+    release(docs.sparkSession)
+    rows = found.where("p.m > 1").select("doc_id", "mark").union(_spans(got, hot, length, gram).select("doc_id", "mark"))
+    known = materialize(rows.distinct(), "passages-known")
+    discard(found, got)
+    release(docs.sparkSession)
+    return known
 
 
 def removal_report(docs: DataFrame, hot: int = 512) -> DataFrame:
@@ -365,11 +404,7 @@ def removal_report(docs: DataFrame, hot: int = 512) -> DataFrame:
     """
     tuned(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
-    size = WORD_BYTES * PASSAGE_WORDS
-    words = _report(_as_words(docs), hot, size, size // 2)
-    known = materialize(words.where("n_removed > 0").select("doc_id", "mark").distinct(), "prefix-free-passages").alias("k")
-    discard(words.needs)
-    release(docs.sparkSession)
+    known = _with_passage(docs, hot).alias("k")
     report = _report(docs, hot, LENGTH, GRAM).alias("r")
     same = F.col("r.mark").eqNullSafe(F.col("k.mark")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))
     return report.join(known, same, "left").select("r.doc_id", *(f"r.{n}" for n, _ in _RESULT), F.col("k.mark").isNotNull().alias("repeats"))
