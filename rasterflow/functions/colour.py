@@ -73,17 +73,6 @@ def apply_matrix(df: DataFrame, m: Sequence[float]) -> DataFrame:
     return df.withColumns({c: m[3 * i] * F.col("r") + m[3 * i + 1] * F.col("g") + m[3 * i + 2] * F.col("b") for i, c in enumerate(RGB)})
 
 
-def transfer_name(profile: str | None) -> tuple[str, bool]:
-    """Transfer function of a profile's name, and whether it had to be assumed."""
-    p = (profile or "").lower()
-    if "linear" in p:
-        return "linear", False
-    for key, name in (("display p3", "DisplayP3"), ("adobe rgb", "AdobeRGB"), ("prophoto", "ProPhoto"), ("2020", "Rec2020"), ("srgb", "sRGB")):
-        if key in p:
-            return name, False
-    return "sRGB", True
-
-
 def output_knee(v: Column, rolloff: float) -> Column:
     if rolloff <= 0:
         return v

@@ -85,6 +85,16 @@ def luma_mask(y: Column, low: float, high: float, softness: float, invert: bool
     return 1 - m if invert else m
 
 
+def masked(before: Column, after: Column, mask: Column) -> Column:
+    """An effect's result as far as the mask lets it through; where it is 0, exactly what was there."""
+    m = unit(mask)
+    return F.when(m == 0, before).otherwise(before + (after - before) * m)
+
+
+def masked_contribution(added: Column, mask: Column) -> Column:
+    return added * unit(mask)
+
+
 def exposure_envelope(y: Column, profile: str = "negative") -> Column:
     x = F.log2(F.greatest(y, F.lit(1e-6)) / MIDDLE_GREY)
     if profile == "positive":
@@ -96,24 +106,39 @@ def screen_gain(base: Column) -> Column:
     return F.when(base <= 0, 1.0).when(base < 1, 1 - base).otherwise(1 / F.greatest(F.lit(1.0), base))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value taken once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def density_composite(rgb, halo, density: Column, blue: float) -> list[Column]:
     """Colour moved towards the halo's red-orange at equal luma, then the halo added."""
-    (r, g, b), (er, eg, eb) = rgb, halo
-    excess = F.greatest(F.lit(0.0), er - F.greatest(eg, eb))
-    peak = F.greatest(F.lit(1e-8), r, g, b)
-    cool = unit((F.greatest(g, b) - r) / peak)
-    energy = excess * (1 + 1.6 * blue * cool)
-    y = F.greatest(F.lit(0.0), 0.2126 * r + 0.7152 * g + 0.0722 * b)
-    t = unit((y - 0.70) / 0.35)
-    mask = F.least(F.lit(0.78), density * (1 - F.exp(-6 * energy)) * (1 - 0.86 * t * t * (3 - 2 * t)))
-    safe = F.greatest(er, F.lit(1e-8))
-    gr = F.least(F.lit(0.38), F.greatest(F.lit(0.12), eg / safe))
-    br = F.least(F.lit(0.12), F.greatest(F.lit(0.035), eb / safe))
-    tr = F.least(y / F.greatest(F.lit(1e-8), 0.2126 + 0.7152 * gr + 0.0722 * br), y * 2.4 + 0.05)
-    mixed = [c + (to - c) * mask for c, to in ((r, tr), (g, tr * gr), (b, tr * br))]
-    lift = F.greatest(F.lit(0.0), y - (0.2126 * mixed[0] + 0.7152 * mixed[1] + 0.0722 * mixed[2]))
-    plain = (density <= 0) | (er <= 1e-12) | (excess <= 1e-12)
-    return [F.when(plain, c + e).otherwise(m + lift + e) for c, e, m in zip(rgb, halo, mixed, strict=True)]
+    names = [*"rgb", "er", "eg", "eb", "density"]
+    start = F.struct(*[c.alias(n) for c, n in zip((*rgb, *halo, density), names, strict=True)])
+
+    def shares(v: Column) -> Column:
+        r, g, b, er, eg, eb = (v[n] for n in names[:6])
+        excess = F.greatest(F.lit(0.0), er - F.greatest(eg, eb))
+        cool = unit((F.greatest(g, b) - r) / F.greatest(F.lit(1e-8), r, g, b))
+        y = F.greatest(F.lit(0.0), 0.2126 * r + 0.7152 * g + 0.0722 * b)
+        safe = F.greatest(er, F.lit(1e-8))
+        gr = F.least(F.lit(0.38), F.greatest(F.lit(0.12), eg / safe))
+        br = F.least(F.lit(0.12), F.greatest(F.lit(0.035), eb / safe))
+        plain = (v["density"] <= 0) | (er <= 1e-12) | (excess <= 1e-12)
+        return F.struct(y.alias("y"), (excess * (1 + 1.6 * blue * cool)).alias("energy"), unit((y - 0.70) / 0.35).alias("t"), gr.alias("gr"), br.alias("br"), plain.alias("plain"))
+
+    def mixed(v: Column, s: Column) -> Column:
+        y, t = s["y"], s["t"]
+        mask = F.least(F.lit(0.78), v["density"] * (1 - F.exp(-6 * s["energy"])) * (1 - 0.86 * t * t * (3 - 2 * t)))
+        tr = F.least(y / F.greatest(F.lit(1e-8), 0.2126 + 0.7152 * s["gr"] + 0.0722 * s["br"]), y * 2.4 + 0.05)
+        return let(F.struct(mask.alias("m"), tr.alias("tr")), lambda q: F.array(*[v[c] + (to - v[c]) * q["m"] for c, to in zip("rgb", (q["tr"], q["tr"] * s["gr"], q["tr"] * s["br"]), strict=True)]))
+
+    def done(v: Column, s: Column, c: Column) -> Column:
+        lift = F.greatest(F.lit(0.0), s["y"] - (0.2126 * c[0] + 0.7152 * c[1] + 0.0722 * c[2]))
+        return F.array(*[F.when(s["plain"], v[n]).otherwise(c[i] + lift) + v["e" + n] for i, n in enumerate("rgb")])
+
+    out = let(start, lambda v: let(shares(v), lambda s: let(mixed(v, s), lambda c: done(v, s, c))))
+    return [out[i] for i in range(3)]
 
 
 def sigma_pixels(sigma: float, units: str, width: int, height: int) -> float:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rasterflow.functions.gates import let
+
 M32 = 0xFFFFFFFF
 GOLDEN = 0x9E3779B9
 
@@ -69,3 +71,33 @@ def gaussian_array(seed: int, node: int, x: np.ndarray, y: np.ndarray, scale: in
     for k in range(12):
         total = (total.astype(np.float64) + fmix32_array(h ^ np.uint32(k)) / 2.0**32).astype(np.float32)
     return (total.astype(np.float64) - 6).astype(np.float32)
+
+
+def fmix32_once(h: Column) -> Column:
+    """fmix32_column for chains: each step's value is taken once, so expressions don't multiply."""
+    h = let(h, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 16)))
+    h = let(let(h, lambda v: multiply(v, 0x85EBCA6B)), lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 13)))
+    return let(let(h, lambda v: multiply(v, 0xC2B2AE35)), lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 16)))
+
+
+def hash32_column(seed: int, *words: Column | int) -> Column:
+    """hash32 with columns among its words; those before the first column are taken on the driver."""
+    h: Column | int = fmix32(seed ^ GOLDEN)
+    for w in words:
+        if isinstance(w, int) and isinstance(h, int):
+            h = fmix32(h ^ w & M32)
+        else:
+            h = fmix32_once((F.lit(h).cast("long") if isinstance(h, int) else h).bitwiseXOR(u32(F.lit(w) if isinstance(w, int) else w)))
+    return h
+
+
+def gaussian_column(seed: int, node: str, x: Column, y: Column, scale: int, channel: int) -> Column:
+    """Twelve uniforms less six at each coordinate, every sum rounded to single precision."""
+    draw = lambda h: F.transform(F.array(*[F.lit(k).cast("long") for k in range(12)]), lambda k: fmix32_once(h.bitwiseXOR(k)) / float(1 << 32))
+    drawn = let(hash32_column(seed, fnv1a(node), x, y, scale, channel), draw)
+    total = F.aggregate(drawn, F.lit(0.0).cast("float"), lambda t, u: (t.cast("double") + u).cast("float"))
+    return (total.cast("double") - 6).cast("float")
+
+
+def derive_seed_column(previous: Column, fingerprint: str, node_id: str) -> Column:
+    return fmix32_once(u32(previous).bitwiseXOR(F.lit(fnv1a(fingerprint) ^ fnv1a(node_id) ^ GOLDEN)))

@@ -15,8 +15,9 @@ from rasterflow.operators import kernels as K
 from rasterflow.operators.stencil import box_radius, gaussian_kernel
 
 ss = K.smoothstep
-# Width of the exposed frame in millimetres by gauge.
+#: Half the width over which a source goes from one class to the next.
 CLASS_SOFTNESS = 0.25
+# Width of the exposed frame in millimetres by gauge.
 APERTURE_MM = {"8mm": 5.79, "16mm": 12.52, "35mm": 24.89, "65mm": 52.15}
 
 
@@ -36,6 +37,8 @@ def luma(rgb: np.ndarray) -> np.ndarray:
 
 
 class Effect:
+    """A node's kind. Defaults, ranges and choices are fixed values: documents mean the same with them everywhere."""
+
     type = ""
     stage = 0
     defaults: dict = {}
@@ -266,6 +269,8 @@ class Halation(Effect):
         return out, density
 
     def apply(self, block, p, ctx):
+        # a graph's quality leaves the node's own diffusion as it is; only a request for speed overrides it
+        p = {**p, "diffusionMode": "fast"} if ctx.get("forceFast") else p
         sigma = self.sigma(p, ctx)
         f = self.extract(block, p, sigma)
         halo, gate = self.halo(block, f, p, sigma)
@@ -395,6 +400,7 @@ class Grain(Effect):
         return (out / (k * k).sum())[pad : pad + h, pad : pad + w]
 
     def apply(self, block, p, ctx):
+        p = {**p, "mode": "fast"} if ctx.get("quality") == "fast" else p
         rgb = block["rgb"]
         h, w = rgb.shape[1:]
         fields = np.zeros_like(rgb)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterflow.operators.effects import EFFECTS
 from rasterflow.operators.kernels import smoothstep
 from rasterflow.operators.stencil import bands
 from rasterflow.plans.graph import Node, Plan
@@ -42,7 +43,7 @@ def run_block(block: dict, plan: Plan) -> dict:
 
 def render(pixels: DataFrame, plan: Plan) -> DataFrame:
     """pixels (frame_id, y, x, r, g, b, a) through a plan; missing alpha is 1, missing pixels of a block are 0. Alpha stays."""
-    height = plan.context["height"]
+    height = plan.rows
     if not plan.nodes:
         return pixels.selectExpr("cast(frame_id as string) as frame_id", "y", "x", "r", "g", "b", "a")
     df = pixels.select("frame_id", "y", "x", "r", "g", "b", "a", F.lit(height).alias("height"))
@@ -64,13 +65,26 @@ def render(pixels: DataFrame, plan: Plan) -> DataFrame:
     return bands(df, plan.band_height, plan.halo).groupBy("frame_id", "band").applyInPandas(one, PIXELS)
 
 
+def extracted(pixels: DataFrame, params: dict, sigma: float) -> DataFrame:
+    """frame_id, y, x, u and s0, s1, s2: exposure and layers of the light-scattering node's source, without its growth. No halo is needed."""
+    effect = EFFECTS["halation"]
+
+    def run(batches):
+        for pdf in batches:
+            block = {"rgb": pdf[["r", "g", "b"]].to_numpy(float).T[:, None, :], "a": pdf["a"].fillna(1.0).to_numpy(float)[None, :]}
+            f = effect.extract(block, {**params, "sourceExpansion": 0}, sigma)
+            yield pd.DataFrame({"frame_id": pdf["frame_id"].astype(str), "y": pdf["y"], "x": pdf["x"], "u": f["U"][0], **{f"s{i}": s[0] for i, s in enumerate(f["src"])}})
+
+    return pixels.select("frame_id", "y", "x", "r", "g", "b", "a").mapInPandas(run, "frame_id string, y int, x int, u double, s0 double, s1 double, s2 double")
+
+
 def render_encoded(pixels: DataFrame, plan: Plan, profile: str | None, rolloff: float = 0.0) -> DataFrame:
     """Display-encoded pixels to linear light and sRGB primaries, through the graph, and back."""
-    from rasterflow.functions import colour
+    from rasterflow.functions import colour, profiles
 
-    trc, _ = colour.transfer_name(profile)
-    df = colour.mapped(pixels, lambda v: colour.decode(v, trc))
-    df = colour.apply_matrix(df, colour.TO_SRGB[trc]) if trc in colour.TO_SRGB else df
+    known = profiles.resolve(profile)
+    df = colour.mapped(pixels, lambda v: colour.decode(v, known.transfer))
+    df = colour.apply_matrix(df, colour.TO_SRGB[known.base]) if known.base != "sRGB" else df
     df = render(df, plan)
-    df = colour.apply_matrix(df, colour.FROM_SRGB[trc]) if trc in colour.FROM_SRGB else df
-    return colour.mapped(colour.mapped(df, lambda v: colour.encode(v, trc)), lambda v: colour.output_knee(v, rolloff))
+    df = colour.apply_matrix(df, colour.FROM_SRGB[known.base]) if known.base != "sRGB" else df
+    return colour.mapped(colour.mapped(df, lambda v: colour.encode(v, known.transfer)), lambda v: colour.output_knee(v, rolloff))

@@ -104,11 +104,8 @@ def upsample(low: DataFrame, grid: DataFrame, columns: list[str], scale: int) ->
     return each.join(cells, ["frame_id", "cy", "cx"]).groupBy("frame_id", "y", "x").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
 
 
-def preview_cells(df: DataFrame, columns: list[str], out_width: int, out_height: int, weight: str | None = None) -> DataFrame:
-    """Means over the overlapping cells of a preview grid: each pixel names the cells that cover it, then one aggregate.
-
-    weight: weighted means, 0 where the weights of a cell sum to nothing.
-    """
+def covering_cells(df: DataFrame, out_width: int, out_height: int) -> DataFrame:
+    """Each pixel once for each cell (cy, cx) of a preview grid that covers it; cells overlap where sizes don't divide."""
 
     def covering(axis: str, size: str, out: int):
         step = F.col(size) / F.lit(float(out))
@@ -116,7 +113,15 @@ def preview_cells(df: DataFrame, columns: list[str], out_width: int, out_height:
         last = F.least(F.lit(out - 1), F.floor((F.col(axis) + 1) / step) + 1).cast("int")
         return F.filter(F.sequence(first, last), lambda k: (F.floor(k * step) <= F.col(axis)) & (F.ceil((k + 1) * step) > F.col(axis)))
 
-    each = df.withColumn("cy", F.explode(covering("y", "height", out_height))).withColumn("cx", F.explode(covering("x", "width", out_width)))
+    return df.withColumn("cy", F.explode(covering("y", "height", out_height))).withColumn("cx", F.explode(covering("x", "width", out_width)))
+
+
+def preview_cells(df: DataFrame, columns: list[str], out_width: int, out_height: int, weight: str | None = None) -> DataFrame:
+    """Means over the overlapping cells of a preview grid: each pixel names the cells that cover it, then one aggregate.
+
+    weight: weighted means, 0 where the weights of a cell sum to nothing.
+    """
+    each = covering_cells(df, out_width, out_height)
     if weight:
         w = F.greatest(F.lit(0.0), F.col(weight))
         means = [F.when(F.sum(w) <= 1e-12, 0.0).otherwise(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in columns]
@@ -130,11 +135,19 @@ def crop(df: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
     return df.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
 
 
-def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """frame_id, rms, largest: of all samples of two renderings."""
+def difference(left: DataFrame, right: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """frame_id, rms, largest: of all samples of two renderings.
+
+    tolerance: also the first sample, by row, column and channel, that differs by more (y, x, channel; null if there is none).
+    """
     j = left.select("frame_id", "y", "x", "r", "g", "b").join(right.selectExpr("frame_id", "y", "x", "r as r2", "g as g2", "b as b2"), ["frame_id", "y", "x"])
     d = [F.abs(F.col(c) - F.col(c + "2")) for c in "rgb"]
-    return j.groupBy("frame_id").agg(F.sqrt(F.sum(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / (3 * F.count("*"))).alias("rms"), F.max(F.greatest(*d)).alias("largest"))
+    out = [F.sqrt(F.sum(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / (3 * F.count("*"))).alias("rms"), F.max(F.greatest(*d)).alias("largest")]
+    if tolerance is None:
+        return j.groupBy("frame_id").agg(*out)
+    channel = F.when(d[0] > tolerance, 0).when(d[1] > tolerance, 1).when(d[2] > tolerance, 2)
+    first = F.min(F.when(channel.isNotNull(), F.struct("y", "x", channel.alias("channel")))).alias("first")
+    return j.groupBy("frame_id").agg(*out, first).select("frame_id", "rms", "largest", "first.y", "first.x", F.element_at(F.array(*map(F.lit, "RGB")), F.col("first.channel") + 1).alias("channel"))
 
 
 def bands(df: DataFrame, height: int, overlap: int) -> DataFrame:

@@ -70,31 +70,34 @@ def minimum_version(nodes: list[Node]) -> str:
 
 @dataclass(frozen=True)
 class Plan:
-    """Nodes that change something, and the rows that a band needs above and below its own."""
+    """Nodes that change something, the rows of the pixels, and the rows that a band needs above and below its own."""
 
     nodes: tuple[Node, ...]
     context: dict
+    rows: int
     halo: int
     band_height: int
 
     @property
     def key(self) -> str:
-        return digest({"nodes": [[n.id, n.type, n.params, n.mask] for n in self.nodes], "context": self.context, "band": self.band_height})
+        return digest({"nodes": [[n.id, n.type, n.params, n.mask] for n in self.nodes], "context": self.context, "rows": self.rows, "band": self.band_height})
 
 
-def plan(nodes: list[Node], width: int, height: int, *, fmt: dict | None = None, quality: str = "quality", preview_scale: float = 1, band_pixels: int = 4_000_000) -> Plan:
-    """Disabled and neutral nodes go; supports add up from the sinks; bands are as high as band_pixels allows.
+def plan(
+    nodes: list[Node], width: int, height: int, *, fmt: dict | None = None, quality: str = "quality", preview_scale: float = 1,
+    band_pixels: int = 4_000_000, frame: tuple[int, int] | None = None, force_fast: bool = False,
+) -> Plan:
+    """Disabled and neutral nodes go; supports add up from the sinks; bands are as high as band_pixels allows, and as their halo.
 
-    Where the supports would read more than the bands themselves, a band is the whole frame.
+    frame: width and height of the whole frame, where the pixels are a crop of it: sizes in frame units follow it.
     """
-    ctx = {"width": width, "height": height, "format": film_format(fmt), "quality": quality, "previewScale": preview_scale}
+    full = frame or (width, height)
+    ctx = {"width": full[0], "height": full[1], "format": film_format(fmt), "quality": quality, "previewScale": preview_scale, "forceFast": force_fast}
     live = tuple(n for n in nodes if n.enabled and not n.effect.identity(n.params))
-    halo = sum(n.effect.support(n.params, ctx) for n in live)
-    rows = max(1, band_pixels // max(1, width))
     # bands begin at multiples of the coarsest scale, so reduced planes have the same cells in every band
-    rows = max(8, rows // 8 * 8)
-    halo = -(-halo // 8) * 8
-    return Plan(live, ctx, halo, height if rows >= height or 2 * halo >= rows else rows)
+    halo = -(-sum(n.effect.support(n.params, ctx) for n in live) // 8) * 8
+    rows = max(8, band_pixels // max(1, width) // 8 * 8, halo)
+    return Plan(live, ctx, height, halo, min(height, rows))
 
 
 def stable_json(value) -> str:

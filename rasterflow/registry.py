@@ -379,3 +379,6 @@ def dithered_samples(spark, sf_dir):
 @query("png_encode")
 def png_encode(spark, sf_dir):
     return rasters.png_frames(rasters.quantised(rasters.events_raster(spark, sf_dir).select("frame_id", "y", "x", *"rgb", "a"), 8, dither=False))
+
+
+from rasterflow import registry_more  # noqa: E402, F401

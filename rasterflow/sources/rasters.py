@@ -52,6 +52,64 @@ def synthetic(spark: SparkSession, width: int, height: int, frame_id: str = "fra
     return spark.range(width * height).select(F.lit(frame_id).alias("frame_id"), y.alias("y"), x.alias("x"), F.when(lamp, 2.0).otherwise(v).alias("r"), F.when(lamp, 1.5).otherwise(v * 0.8).alias("g"), F.when(lamp, 1.0).otherwise(v * 0.6).alias("b"), F.lit(1.0).alias("a"), F.lit(width).alias("width"), F.lit(height).alias("height"))
 
 
+def component_size(value) -> int:
+    """8, 16 or 32 of a depth as hosts name it."""
+    known = {"8": 8, "bitdepth8": 8, "eight": 8, "16": 16, "bitdepth16": 16, "sixteen": 16, "32": 32, "bitdepth32": 32, "thirtytwo": 32}
+    if (key := str(value).strip().lower()) not in known:
+        raise ValueError(f"unsupported component size {value!r}")
+    return known[key]
+
+
+def read_samples(stored: DataFrame, depth, raw: bool = False) -> DataFrame:
+    """Stored samples as numbers from 0 to 1 (32 bits as they are), alpha apart and 1 where there is none; raw: as stored."""
+    norm = float(NORM[component_size(depth)])
+    if raw:
+        return stored
+    df = stored if "a" in stored.columns else stored.withColumn("a", F.lit(None).cast("double"))
+    return df.withColumns({c: F.col(c) / norm for c in "rgb"} | {"a": F.coalesce(F.col("a") / norm, F.lit(1.0))})
+
+
+def read_reduced(stored: DataFrame, depth, size: tuple[int, int], overview: DataFrame | None = None) -> DataFrame:
+    """A picture of about `size`: an overview that is within a pixel of it, else the means of the stored samples' cells."""
+    from rasterflow.operators.stencil import preview_cells
+
+    if overview is not None:
+        have = overview.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
+        if have["w"] is not None and abs(have["w"] - size[0]) <= 1 and abs(have["h"] - size[1]) <= 1:
+            return read_samples(overview, depth)
+    return preview_cells(read_samples(stored, depth), ["r", "g", "b", "a"], *size)
+
+
+def write_document(samples: DataFrame, path: str) -> None:
+    """Integer samples under path, one folder a frame; a frame's folder is replaced in one commit and others stay."""
+    samples.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frame_id").parquet(path)
+
+
+def sample_frames(spark: SparkSession, size: int = 256) -> DataFrame:
+    """Four small display-encoded scenes: lamps at night, a sun, a window, a portrait."""
+    y, x = F.floor(F.col("id") / size).cast("int").alias("y"), F.pmod("id", F.lit(size)).cast("int").alias("x")
+    df = spark.range(size * size).select(y, x)
+    x, y = F.col("x"), F.col("y")
+    at = lambda px, py: F.sqrt((x - px) * (x - px) + (y - py) * (y - py))
+    oval = lambda px, py, a, b: ((x - px) / a) * ((x - px) / a) + ((y - py) / b) * ((y - py) / b)
+    night = [8 + y * 0.04, 10 + y * 0.04, 18 + y * 0.06]
+    for px, py, colour in ((70, 130, (1.0, 0.85, 0.6)), (150, 90, (0.95, 0.8, 0.55)), (200, 170, (0.9, 0.75, 0.5))):
+        d = at(px, py)
+        night = [F.when(d < 4, 255 * k).when(d < 22, F.greatest(v, 255 * k * (1 - d / 22) * 0.9)).otherwise(v) for v, k in zip(night, colour, strict=True)]
+    d, t = at(170, 80), y / size
+    sky = [90 + t * 60, 120 + t * 60, 190 + t * 20]
+    near = 1 - (d - 26) / 14
+    sun = [F.when(d < 26, float(top)).when(d < 40, F.greatest(v, top * near + v * (1 - near))).otherwise(v) for v, top in zip(sky, (255, 250, 235), strict=True)]
+    pane, frame = x.between(100, 156) & y.between(70, 140), x.between(96, 160) & y.between(66, 144)
+    window = [F.when(pane, float(a)).when(frame, float(b)).otherwise(float(c)) for a, b, c in zip((240, 250, 255), (150, 160, 175), (22, 24, 30), strict=True)]
+    head, body, side = oval(128, 100, 42, 52) <= 1, oval(128, 190, 78, 34) <= 1, F.greatest(F.lit(0.0), 1 - at(30, 90) / 160)
+    skin = [F.least(F.lit(255.0), 190 + side * 40), F.least(F.lit(255.0), 160 + side * 20), F.lit(140.0)]
+    portrait = [F.when(head, k).when(body, float(b)).otherwise(float(c)) for k, b, c in zip(skin, (60, 50, 52), (14, 16, 22), strict=True)]
+    scenes = {"night": night, "sun": sun, "window": window, "portrait": portrait}
+    each = F.array(*[F.struct(F.lit(n).alias("frame_id"), *[(v / 255.0).alias(c) for c, v in zip("rgb", s, strict=True)]) for n, s in scenes.items()])
+    return df.select("y", "x", F.explode(each).alias("s")).select("s.frame_id", "y", "x", "s.r", "s.g", "s.b", F.lit(1.0).alias("a"), F.lit(size).alias("width"), F.lit(size).alias("height"))
+
+
 def _noise(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     v = (x.astype(np.uint32) + np.uint32(0x51ED270B)) * np.uint32(0x85EBCA6B) ^ (y.astype(np.uint32) + np.uint32(0x68BC21EB)) * np.uint32(0xC2B2AE35)
     v = (v ^ (v >> np.uint32(16))) * np.uint32(0x7FEB352D)
