@@ -62,6 +62,22 @@ class Effect:
     def support(self, p: dict, ctx: dict) -> int:
         return 0
 
+    def near(self, p: dict, ctx: dict) -> int:
+        """The support without blurs that are taken of the whole frame at reduced sizes."""
+        return self.support(p, ctx)
+
+    def reach(self, p: dict, ctx: dict) -> int:
+        """The support of what is blurred at reduced sizes."""
+        return 0
+
+    def wide(self, block: dict, p: dict, ctx: dict) -> list[tuple[str, np.ndarray, float, int]]:
+        """(name, plane, sigma, scale) of the blurs at reduced sizes."""
+        return []
+
+    def wide_blur(self, p: dict, ctx: dict):
+        """What blurs a reduced plane by a sigma."""
+        raise NotImplementedError
+
     def apply(self, block: dict, p: dict, ctx: dict) -> dict:
         raise NotImplementedError(f"effect {self.type!r} is declared but not implemented")
 
@@ -148,6 +164,46 @@ class Halation(Effect):
         grown = math.ceil(max(0.5, s) * 1.3) if p["sourceExpansion"] > 0 else 0
         return math.ceil(5 * max(s * tail, broad)) + grown + 16
 
+    def grown(self, p, ctx):
+        return math.ceil(max(0.5, self.sigma(p, ctx)) * 1.3) + 1 if p["sourceExpansion"] > 0 else 0
+
+    def fast(self, p, ctx):
+        # a graph's quality leaves the node's own diffusion as it is; only a request for speed overrides it
+        return {**p, "diffusionMode": "fast"} if ctx.get("forceFast") else p
+
+    def sizes(self, p, ctx):
+        """(name, sigma, scale) of all blurs."""
+        p = self.fast(p, ctx)
+        sigma, quality = self.sigma(p, ctx), p["diffusionMode"] == "quality"
+        out = [(f"s{i}{k}", s, scale) for i, ratio in enumerate(p["sigmaRatio"]) for k, (s, _, scale) in enumerate(K.lobe_sizes(sigma * ratio, p, i == 0))]
+        if p["sourceInteriorProtection"] > 0:
+            context = max(2, sigma * 1.25)
+            out += [("envelope", max(0.5, sigma * 0.7), 1), ("around", context, K.lobe_scale(context, quality))]
+        if p["globalDiffusion"] > 0:
+            broad = max(12, sigma * 4)
+            out.append(("glow", broad, K.lobe_scale(broad, quality)))
+        return out
+
+    def near(self, p, ctx):
+        return math.ceil(5 * max((s for _, s, scale in self.sizes(p, ctx) if scale == 1), default=0)) + self.grown(p, ctx) + 8
+
+    def reach(self, p, ctx):
+        return self.grown(p, ctx)
+
+    def wide(self, block, p, ctx):
+        p = self.fast(p, ctx)
+        f = self.extract(block, p, self.sigma(p, ctx))
+        plane = lambda n: f["Y"] if n == "around" else self.broad(f, p) if n == "glow" else f["src"][int(n[1])]
+        return [(n, plane(n), s, scale) for n, s, scale in self.sizes(p, ctx) if scale > 1]
+
+    def wide_blur(self, p, ctx):
+        quality = self.fast(p, ctx)["diffusionMode"] == "quality"
+        return lambda q, s: K.blur(q, s, quality)
+
+    @staticmethod
+    def broad(f, p):
+        return (0.88 * f["src"][0] + 0.12 * f["src"][1]) * ss(p["globalSourceThreshold"] - CLASS_SOFTNESS, p["globalSourceThreshold"] + CLASS_SOFTNESS, f["U"])
+
     @staticmethod
     def layers(r, g, b):
         """Saturation and the three layers' responses to a colour's hue."""
@@ -226,11 +282,11 @@ class Halation(Effect):
         src = [s * f for s, f in zip(src, (amp, amp if amp <= 1 else 1 + (amp - 1) * 0.55, amp if amp <= 1 else 1 + (amp - 1) * 0.15), strict=True)]
         return {"Y": y, "G": gate, "U": u, "W": w * amp, "K": k, "src": src}
 
-    def halo(self, block, f, p, sigma):
+    def halo(self, block, f, p, sigma, wide=None):
         quality = p["diffusionMode"] == "quality"
         one = lambda q, s: K.blur(q, s, quality)
         src, u = f["src"], f["U"]
-        spread = [K.psf(s, sigma * ratio, p, red=i == 0) * shift for i, (s, ratio, shift) in enumerate(zip(src, p["sigmaRatio"], p["redshift"], strict=True))]
+        spread = [K.psf(s, sigma * ratio, p, i == 0, wide, f"s{i}") * shift for i, (s, ratio, shift) in enumerate(zip(src, p["sigmaRatio"], p["redshift"], strict=True))]
         hot = ss(p["hotSourceThreshold"] - CLASS_SOFTNESS, p["hotSourceThreshold"] + CLASS_SOFTNESS, u)
         attenuation = p["centerAttenuation"] * (1 - hot + hot * (1 - p["hotCoreStrength"]) ** 3)
         legacy = [np.maximum(0, d - attenuation * s) for d, s in zip(spread, src, strict=True)]
@@ -239,7 +295,7 @@ class Halation(Effect):
         if protect > 0:
             envelope = one(src[0], max(0.5, sigma * 0.7))
             context = max(2, sigma * 1.25)
-            around = K.scaled(f["Y"], context, K.lobe_scale(context, quality), one)
+            around = K.scaled(f["Y"], context, K.lobe_scale(context, quality), one, wide, "around")
             if p["colorDensity"] > 0:
                 density = 1 - protect * ss(0.015, 0.08, np.maximum(src[0], envelope) / max(1, p["amplify"]))
             ratio = np.where(src[0] > 1e-8, np.minimum(1, envelope / np.maximum(src[0], 1e-8)), 1)
@@ -260,20 +316,19 @@ class Halation(Effect):
             gate = gate * (1 - ss(0.35, 0.80, saturation) * emitter * ss(0, 1, p["spectralSensitivity"]))
         out = [x * gate for x in potential]
         if p["globalDiffusion"] > 0:
-            wide = (0.88 * src[0] + 0.12 * src[1]) * ss(p["globalSourceThreshold"] - CLASS_SOFTNESS, p["globalSourceThreshold"] + CLASS_SOFTNESS, u)
             broad = max(12, sigma * 4)
-            glow = K.scaled(wide, broad, K.lobe_scale(broad, quality), one)
+            scale = K.lobe_scale(broad, quality)
+            glow = K.scaled(f["Y"] if wide and scale > 1 else self.broad(f, p), broad, scale, one, wide, "glow")
             y = np.maximum(0, f["Y"])
             value = (1 - np.exp(-np.maximum(0, glow) * 0.75)) / 0.75 * p["globalDiffusion"] * ss(0.03, 0.3, y) * (1 - ss(0.75, 1.8, y))
             out = [o + value * k for o, k in zip(out, (1, 0.12, 0.025), strict=True)]
         return out, density
 
     def apply(self, block, p, ctx):
-        # a graph's quality leaves the node's own diffusion as it is; only a request for speed overrides it
-        p = {**p, "diffusionMode": "fast"} if ctx.get("forceFast") else p
+        p = self.fast(p, ctx)
         sigma = self.sigma(p, ctx)
         f = self.extract(block, p, sigma)
-        halo, gate = self.halo(block, f, p, sigma)
+        halo, gate = self.halo(block, f, p, sigma, ctx.get("wide"))
         rgb, alpha = block["rgb"], p["strength"] / 100 * 2
         gain = [np.where(c <= 0, 1, np.where(c < 1, 1 - c, 1 / np.maximum(1, c))) if p["blendMode"] == "screen" else 1 for c in rgb]
         e = [g * np.maximum(0, h) * alpha for g, h in zip(gain, halo, strict=True)]
@@ -307,15 +362,31 @@ class Bloom(Effect):
     def support(self, p, ctx):
         return math.ceil(5 * 2.4 * self.radius(p, ctx)) + 16
 
-    def apply(self, block, p, ctx):
-        rgb = block["rgb"]
+    def sizes(self, p, ctx):
+        radius = self.radius(p, ctx)
+        return [(name, weight, max(0.05, radius * ratio), K.bloom_scale(max(0.05, radius * ratio), name)) for name, ratio, weight in self.lobes]
+
+    def near(self, p, ctx):
+        return math.ceil(5 * max((s for _, _, s, scale in self.sizes(p, ctx) if scale == 1), default=0)) + 8
+
+    def source(self, block, p):
         t = 0.18 * 2 ** p["thresholdEV"]
-        gate = ss(t, t * 2 ** p["softnessEV"], rgb.max(0))
-        src = np.maximum(0, rgb) * gate * block["a"].clip(0, 1)
+        gate = ss(t, t * 2 ** p["softnessEV"], block["rgb"].max(0))
+        src = np.maximum(0, block["rgb"]) * gate * block["a"].clip(0, 1)
         y = luma(src)
-        src = np.maximum(0, y + (src - y) * p["saturation"])
-        radius, quality = self.radius(p, ctx), ctx.get("quality") != "fast"
-        glow = np.stack([sum(w * K.bloom_blur(c, max(0.05, radius * ratio), name, quality) for name, ratio, w in self.lobes) for c in src])
+        return gate, np.maximum(0, y + (src - y) * p["saturation"])
+
+    def wide(self, block, p, ctx):
+        _, src = self.source(block, p)
+        return [(f"{name}{i}", c, s, scale) for name, _, s, scale in self.sizes(p, ctx) if scale > 1 for i, c in enumerate(src)]
+
+    def wide_blur(self, p, ctx):
+        return K.bloom_one(ctx.get("quality") != "fast")
+
+    def apply(self, block, p, ctx):
+        rgb, quality = block["rgb"], ctx.get("quality") != "fast"
+        gate, src = self.source(block, p)
+        glow = np.stack([sum(w * K.bloom_blur(c, s, name, quality, ctx.get("wide"), f"{name}{i}") for name, w, s, _ in self.sizes(p, ctx)) for i, c in enumerate(src)])
         glow = glow * p["amplify"] * (1 - p["saveLights"] * gate)
         return {**block, "rgb": rgb + glow, "bloom_base": rgb, "bloom_glow": glow}
 

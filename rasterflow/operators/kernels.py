@@ -23,7 +23,7 @@ def _convolve(p: np.ndarray, kernel, axis: int) -> np.ndarray:
     padded = np.pad(p, width, mode="edge")
     n, out = p.shape[axis], np.zeros_like(p)
     for k, w in enumerate(kernel):
-        out += w * np.take(padded, range(k, k + n), axis)
+        out += w * (padded[:, k : k + n] if axis else padded[k : k + n])
     return out
 
 
@@ -36,7 +36,7 @@ def box3(p: np.ndarray, sigma: float) -> np.ndarray:
             width[axis] = (r + 1, r)
             total = np.cumsum(np.pad(p, width, mode="edge"), axis)
             n = p.shape[axis]
-            p = (np.take(total, range(2 * r + 1, 2 * r + 1 + n), axis) - np.take(total, range(n), axis)) / (2 * r + 1)
+            p = (total[:, 2 * r + 1 : 2 * r + 1 + n] - total[:, :n] if axis else total[2 * r + 1 : 2 * r + 1 + n] - total[:n]) / (2 * r + 1)
     return p
 
 
@@ -68,13 +68,21 @@ def recursive_gaussian(p: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def max_square(p: np.ndarray, radius: float) -> np.ndarray:
+    """Running maxima from both sides of blocks: cost independent of the radius."""
     r = math.floor(radius)
+    if r < 1:
+        return p
     for axis in (1, 0):
-        width = [(0, 0), (0, 0)]
-        width[axis] = (r, r)
-        view = np.lib.stride_tricks.sliding_window_view(np.pad(p, width, constant_values=-np.inf), 2 * r + 1, axis)
-        p = view.max(-1)
-    return p
+        lines = np.moveaxis(p, axis, 0)
+        n, width = len(lines), 2 * r + 1
+        blocks = -(-(n + 2 * r) // width)
+        padded = np.full((blocks * width, lines.shape[1]), -np.inf)
+        padded[r : r + n] = lines
+        cut = padded.reshape(blocks, width, -1)
+        ahead = np.maximum.accumulate(cut, axis=1).reshape(padded.shape)
+        back = np.maximum.accumulate(cut[:, ::-1], axis=1)[:, ::-1].reshape(padded.shape)
+        p = np.moveaxis(np.maximum(back[:n], ahead[2 * r : 2 * r + n]), 0, axis)
+    return np.ascontiguousarray(p)
 
 
 def shrink(p: np.ndarray, s: int) -> np.ndarray:
@@ -124,23 +132,32 @@ def blur(p: np.ndarray, sigma: float, quality: bool) -> np.ndarray:
     return gaussian(p, sigma) if sigma < 4 else recursive_gaussian(p, sigma)
 
 
-def scaled(p: np.ndarray, sigma: float, scale: int, one) -> np.ndarray:
+def scaled(p: np.ndarray, sigma: float, scale: int, one, wide=None, name: str = "") -> np.ndarray:
+    """A blur at a reduced size. wide: gives those of a whole frame, where p is a part of it."""
     if scale == 1:
         return one(p, sigma)
-    return grow(one(shrink(p, scale), sigma / scale), *p.shape, scale)
+    return wide(name, scale, p.shape) if wide else grow(one(shrink(p, scale), sigma / scale), *p.shape, scale)
 
 
-def psf(p: np.ndarray, sigma: float, params: dict, red: bool = False) -> np.ndarray:
-    """The weighted lobes: the core at full size, wider ones at reduced sizes."""
+def lobe_sizes(sigma: float, params: dict, red: bool) -> list[tuple[float, float, int]]:
+    """(sigma, weight, scale) of the lobes: the core at full size, wider ones at reduced sizes."""
     quality = params["diffusionMode"] == "quality"
-    one = lambda q, s: blur(q, s, quality)
-    out = np.zeros_like(p)
-    for k, (ratio, weight) in enumerate(lobes(params, red)):
-        out += weight * scaled(p, sigma * ratio, 1 if k == 0 else lobe_scale(sigma * ratio, quality), one)
-    return out
+    return [(sigma * r, w, 1 if k == 0 else lobe_scale(sigma * r, quality)) for k, (r, w) in enumerate(lobes(params, red))]
+
+
+def psf(p: np.ndarray, sigma: float, params: dict, red: bool = False, wide=None, name: str = "") -> np.ndarray:
+    """The weighted lobes of a plane."""
+    one = lambda q, s: blur(q, s, params["diffusionMode"] == "quality")
+    return sum(w * scaled(p, s, scale, one, wide, f"{name}{k}") for k, (s, w, scale) in enumerate(lobe_sizes(sigma, params, red)))
+
+
+def bloom_scale(sigma: float, name: str) -> int:
+    return 1 if name == "core" else (4 if sigma >= 16 else 2) if name == "mid" else (8 if sigma >= 32 else 4)
+
+
+def bloom_one(quality: bool):
+    return lambda q, s: box3(q, s) if not quality else gaussian(q, s) if s < 0.4 else recursive_gaussian(q, s)
 
 
-def bloom_blur(p: np.ndarray, sigma: float, name: str, quality: bool) -> np.ndarray:
-    scale = 1 if name == "core" else (4 if sigma >= 16 else 2) if name == "mid" else (8 if sigma >= 32 else 4)
-    one = lambda q, s: box3(q, s) if not quality else gaussian(q, s) if s < 0.4 else recursive_gaussian(q, s)
-    return scaled(p, sigma, scale, one)
+def bloom_blur(p: np.ndarray, sigma: float, name: str, quality: bool, wide=None, label: str = "") -> np.ndarray:
+    return scaled(p, sigma, bloom_scale(sigma, name), bloom_one(quality), wide, label)

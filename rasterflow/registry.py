@@ -371,7 +371,23 @@ for _name, _kinds, _quality in (
     query(_name)(_graph(_kinds, _quality))
 
 
-@query("dithered_samples")
+_M = 4294967295
+_NOISE = f"(select *, xor(((x + {0x51ED270B}) & {_M})::hugeint * {0x85EBCA6B} & {_M}, ((y + {0x68BC21EB}) & {_M})::hugeint * {0xC2B2AE35} & {_M})::bigint as v from p)"
+_TILE = f"""p as (select cast(range // 64 as bigint) as y, cast(range % 64 as bigint) as x from range(4096)), n0 as (select y, x, (xor(v, v >> 16)::hugeint * {0x7FEB352D} & {_M})::bigint as v from {_NOISE}), n as (select y, x, xor(v, v >> 15) / 4294967296.0 as v from n0),
+s as (select n.y, n.x, n.v - (select sum(m.v) from n m where (m.y - n.y + 65) % 64 <= 2 and (m.x - n.x + 65) % 64 <= 2 and not (m.y = n.y and m.x = n.x)) / 8 as score from n), tile as (select y, x, (row_number() over (order by score, y, x) - 0.5) / 4096 - 0.5 as noise from s)"""
+
+
+def _dither_sql(seed: int = 0x46534C4D) -> str:
+    joins, out = [], []
+    for k, c in enumerate("rgb"):
+        sx, sy = (seed ^ (k + 1) * 0x9E3779B1) & 63, (seed >> 8 ^ (k + 3) * 0x85EBCA6B) & 63
+        tx, ty = (("ev.x", "ev.y"), ("ev.y", "-ev.x"), ("ev.x + ev.y", "ev.y - ev.x"))[k]
+        joins.append(f"join tile t{c} on t{c}.x = (({tx} + {sx}) % 64 + 64) % 64 and t{c}.y = (({ty} + {sy}) % 64 + 64) % 64")
+        out.append(f"cast(least(greatest(floor(ev.{c} * 255 + t{c}.noise + 0.5), 0), 255) as integer) as {c}")
+    return f"with {EV}, {_TILE} select 'ev' as frame_id, ev.y, ev.x, {', '.join(out)}, cast(floor(a * 255 + 0.5) as integer) as a from ev {' '.join(joins)}"
+
+
+@query("dithered_samples", _dither_sql())
 def dithered_samples(spark, sf_dir):
     return rasters.quantised(rasters.events_raster(spark, sf_dir).select("frame_id", "y", "x", *"rgb", "a"), 8)
 

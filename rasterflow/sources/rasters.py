@@ -127,29 +127,25 @@ def blue_noise_tile() -> np.ndarray:
     return tile.reshape(64, 64)
 
 
-def blue_noise_table(spark: SparkSession) -> DataFrame:
-    """The tile as rows (ty, tx, noise): always 4096, so it can be broadcast."""
-    t = blue_noise_tile()
-    return spark.createDataFrame(pd.DataFrame({"ty": np.repeat(np.arange(64), 64), "tx": np.tile(np.arange(64), 64), "noise": t.ravel()}))
-
-
 def quantised(df: DataFrame, depth: int, dither: bool = True, seed: int = 0x46534C4D) -> DataFrame:
-    """Integer samples; up to 16 bits with blue noise of half a step, turned and shifted per channel. Alpha gets none."""
+    """Integer samples; up to 16 bits with blue noise of half a step, turned and shifted per channel. Alpha gets none.
+
+    The tile is a constant of 4096 values in the plan: one projection, no join.
+    """
     norm = NORM[depth]
     if depth == 32:
         return df
-    tile = F.broadcast(blue_noise_table(df.sparkSession)) if dither else None
+    tile = F.lit(blue_noise_tile().ravel()) if dither else None
+    out = {}
     for k, c in enumerate("rgb"):
         v = F.col(c) * norm
         if dither:
             sx, sy = (seed ^ (k + 1) * 0x9E3779B1) & 63, (seed >> 8 ^ (k + 3) * 0x85EBCA6B) & 63
             tx = F.col("y") if k == 1 else F.col("x") + F.col("y") if k == 2 else F.col("x")
             ty = -F.col("x") if k == 1 else F.col("y") - F.col("x") if k == 2 else F.col("y")
-            df = df.withColumns({"tx": F.pmod(tx + sx, F.lit(64)), "ty": F.pmod(ty + sy, F.lit(64))}).join(tile, ["ty", "tx"])
-            v = v + F.col("noise")
-        df = df.withColumn(c, F.least(F.greatest(F.floor(v + 0.5), F.lit(0)), F.lit(norm)).cast("int"))
-        df = df.drop("tx", "ty", "noise")
-    return df.withColumn("a", F.floor(F.coalesce("a", F.lit(1.0)) * norm + 0.5).cast("int"))
+            v = v + F.element_at(tile, (F.pmod(ty + sy, F.lit(64)) * 64 + F.pmod(tx + sx, F.lit(64)) + 1).cast("int"))
+        out[c] = F.least(F.greatest(F.floor(v + 0.5), F.lit(0)), F.lit(norm)).cast("int")
+    return df.withColumns(out | {"a": F.floor(F.coalesce("a", F.lit(1.0)) * norm + 0.5).cast("int")})
 
 
 def png(width: int, height: int, rgba: np.ndarray) -> bytes:
