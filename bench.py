@@ -10,9 +10,8 @@ import time
 from pyspark.sql import SparkSession
 
 from rasterflow import registry
-from rasterflow.operators import render
+from rasterflow.operators import frames
 from rasterflow.plans import graph
-from rasterflow.sources import rasters
 
 NAMES = (
     "frame_statistics", "colour_srgb_decode", "density_composite", "box_blur3", "max_filter", "downsample_4", "upsample_bilinear", "defringe_fast",
@@ -30,14 +29,15 @@ def main() -> None:
     sink = lambda df: df.write.format("noop").mode("overwrite").save()
     jobs = {n: (lambda n=n: sink(registry.QUERIES[n](spark, sf_dir))) for n in NAMES}
 
-    def frame24():
-        """The like-for-like frame: 6000 x 4000 through the default graph's fast path, in bands."""
-        df = rasters.synthetic(spark, 6000, 4000)
-        nodes = [graph.validate_node({"id": "halation-main", "type": "halation", "params": graph.EFFECTS["halation"].presets["standard"]})]
-        sink(render.render(df, graph.plan(nodes, 6000, 4000, quality="fast", band_pixels=3_000_000)))
+    def frame24(kinds):
+        """The like-for-like frame: 6000 x 4000 lines through a graph of quality `quality`, in bands."""
+        nodes = [graph.validate_node({"id": f"{k}-main", "type": k, "params": p}) for k, p in kinds.items()]
+        sink(frames.render_lines(frames.synthetic_lines(spark, 6000, 4000), graph.plan(nodes, 6000, 4000, quality="quality")))
 
     if os.environ.get("BENCH_24MP", "1") == "1":
-        jobs["halation_fast_24mp"] = frame24
+        light = {"halation": graph.EFFECTS["halation"].presets["standard"]}
+        jobs["halation_fast_24mp"] = lambda: frame24(light)
+        jobs["full_graph_24mp"] = lambda: frame24({"defringe": {}, **light, "bloom": {}, "highlightProtection": {}, "filmResolution": {}, "grain": {"seedMode": "fixed"}})
     times = {}
     for name, job in jobs.items():
         runs = []

@@ -26,7 +26,7 @@ def to_lines(pixels: DataFrame) -> DataFrame:
     """Pixels as lines: one row for each row of a frame."""
     row = F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", F.coalesce("a", F.lit(1.0)).alias("a"))))
     df = pixels.groupBy("frame_id", "y").agg(row.alias("p"))
-    return df.select(F.col("frame_id").cast("string").alias("frame_id"), "y", *[F.transform(F.col("p"), lambda q, c=c: q[c].cast("float")).alias(c) for c in "rgba"])
+    return df.select(F.col("frame_id").cast("string").alias("frame_id"), "y", *[F.col(f"p.{c}").cast("array<float>").alias(c) for c in "rgba"])
 
 
 def to_pixels(lines: DataFrame) -> DataFrame:

@@ -100,6 +100,20 @@ def plan(
     return Plan(live, ctx, height, halo, min(height, rows))
 
 
+def merge_change(current: list[dict], proposed: list[dict], kind: str) -> list[dict]:
+    """The current graph with the proposed node of one kind: other nodes of a stale proposal don't come along."""
+    node = next((n for n in proposed if n["type"] == kind), None)
+    if node is None:
+        return current
+    out = [node if n["type"] == kind else n for n in current]
+    return out if any(n["type"] == kind for n in current) else [*out, node]
+
+
+def memory_bytes(width: int, height: int, depth: int = 16) -> int:
+    """What a frame takes as a whole, from above."""
+    return width * height * {8: 132, 16: 136, 32: 152}[depth]
+
+
 def stable_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
