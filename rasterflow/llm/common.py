@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,13 @@ def discard(*tables: DataFrame | None) -> None:
             folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """What opens a path of the shared folder from Python, on the driver or a worker."""
+    if urlsplit(uri).scheme:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of jobs whose results are written."""
     gc.collect()

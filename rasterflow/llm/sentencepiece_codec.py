@@ -66,7 +66,7 @@ class StreamingViterbi:
     """Encodes normalised text that comes in pieces of any size; committed ids come out as soon as they are sure."""
 
     #: Entries in each generation of kept results: bounds a worker's memory.
-    KEPT = 250_000
+    KEPT = 400_000
     KEPT_PAIRS = 250_000
 
     def __init__(self, model: PieceModel):
@@ -84,11 +84,12 @@ class StreamingViterbi:
             if len(parts) == 1 and last:
                 self.children[p] = last
         self.whole = frozenset(model.id if not model.bpe else [*self.children, *(p for p in model.id if len(p) == 1)])
-        #: By their last three characters, how long such pieces of more than two are: the longest first.
+        #: By the last three characters before a position, how long pieces that end there can be: the longest first.
         self.sizes: dict[str, tuple[int, ...]] = {}
         for n in sorted({len(p) for p in self.whole if len(p) > 2}, reverse=True):
             for end in {p[-3:] for p in self.whole if len(p) == n}:
                 self.sizes[end] = (*self.sizes.get(end, ()), n)
+        self.sizes = {end: (*n, 2, 1) if end[1:] in self.whole else (*n, 1) for end, n in self.sizes.items()}
 
     def _apart(self, left: str, right: str) -> bool:
         """True if the merges of left + right leave both as they are: two pieces that their own merges make.
@@ -140,54 +141,62 @@ class StreamingViterbi:
         back[e]: length of the survivor's last piece at e, 0 where no path passes. Once a window is full, the ids before the
         last boundary that all surviving paths share are committed, and their backpointers go.
         """
-        longest = self.m.longest
-        step = self._merge_step if self.m.bpe else self._score_step
+        steps, longest = self._merge_steps if self.m.bpe else self._score_step, self.m.longest
         back, total = [0], [0.0]
-        done, full = 0, 2 * longest
-        for end in range(1, len(s) + 1):
-            step(s, done, end, back, total)
-            if end - done >= full:
-                # survivors: the positions from which a later piece can still start
-                alive = [e for e in range(max(0, end - done - longest + 1), end - done + 1) if back[e] or not e]
-                if common := self._converged(back, alive):
-                    yield from self._path(s, back, done, common)
-                    done += common
-                    del back[:common], total[:common]
+        done = 0
+        while done + len(back) <= len(s):
+            # up to a full window, or one position more where nothing could be committed
+            end = min(len(s), max(done + 2 * longest, done + len(back)))
+            steps(s, done, end, back, total)
+            if end == len(s):
+                break
+            # survivors: the positions from which a later piece can still start
+            alive = [e for e in range(max(0, end - done - longest + 1), end - done + 1) if back[e] or not e]
+            if common := self._converged(back, alive):
+                yield from self._path(s, back, done, common)
+                done += common
+                del back[:common], total[:common]
         yield from self._path(s, back, done, len(s) - done)
 
-    def _merge_step(self, s: str, done: int, end: int, back: list[int], total: list[float]) -> None:
-        """Type BPE: the survivor at end is the path whose pieces all stay apart under the merges; there is one at most."""
-        whole, merges = self.whole, self.merges
-        for size in (*self.sizes.get(s[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
-            begin = end - size
-            if begin < done:
-                continue
-            piece = s[begin:end]
-            if size > 1 and piece not in whole:
-                continue
-            if begin:
-                last = back[begin - done]
-                if not last:
+    def _merge_steps(self, s: str, done: int, stop: int, back: list[int], total: list[float]) -> None:
+        """Type BPE: the survivor at a position is the path whose pieces all stay apart under the merges; there is one at most."""
+        whole, merges, sizes, apart = self.whole, self.merges, self.sizes, self._apart
+        pair = (2, 1)
+        for end in range(done + len(back), stop + 1):
+            best = 0
+            for size in sizes.get(s[end - 3 : end], pair) if end > 2 else pair:
+                begin = end - size
+                if begin < done:
+                    continue
+                piece = s[begin:end]
+                if size > 1 and piece not in whole:
                     continue
-                left = s[begin - last : begin]
-                ok = merges.get((left, piece))
-                if not (self._apart(left, piece) if ok is None else ok):
+                if begin:
+                    last = back[begin - done]
+                    if not last:
+                        continue
+                    left = s[begin - last : begin]
+                    ok = merges.get((left, piece))
+                    if not (apart(left, piece) if ok is None else ok):
+                        continue
+                best = size
+                break
+            back.append(best)
+
+    def _score_step(self, s: str, done: int, stop: int, back: list[int], total: list[float]) -> None:
+        """A unigram model: the survivor at a position is the path of the highest score."""
+        known, score, longest = self.m.id, self.m.score, self.m.longest
+        for end in range(done + len(back), stop + 1):
+            best, most = 0, 0.0
+            for size in range(1, min(longest, end - done) + 1):
+                piece = s[end - size : end]
+                if size > 1 and piece not in known:
                     continue
-            back.append(size)
-            return
-        back.append(0)
-
-    def _score_step(self, s: str, done: int, end: int, back: list[int], total: list[float]) -> None:
-        """A unigram model: the survivor at end is the path of the highest score."""
-        known, score, best, most = self.m.id, self.m.score, 0, 0.0
-        for size in range(1, min(self.m.longest, end - done) + 1):
-            if size > 1 and (s[end - size : end] not in known or not (back[end - size - done] or end - size == done)):
-                continue
-            now = total[end - size - done] + score.get(s[end - size : end], -1e4)
-            if not best or now > most:
-                best, most = size, now
-        back.append(best)
-        total.append(most)
+                now = total[end - size - done] + score.get(piece, -1e4)
+                if not best or now > most:
+                    best, most = size, now
+            back.append(best)
+            total.append(most)
 
     @staticmethod
     def _converged(back: list[int], alive: list[int]) -> int:

@@ -23,17 +23,15 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import new_path, tuned
+from rasterflow.llm.common import filesystem, new_path, tuned
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
@@ -104,12 +102,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    if urlsplit(uri).scheme:
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
-
-
 def write_shard(out, docs: Iterable[tuple[int | None, bytes]], width: int) -> tuple[int, int]:
     """Write one shard to a binary stream; returns the numbers of documents and ids."""
     pack = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)

@@ -91,7 +91,7 @@ def test_decontamination_in_blocks(spark):
                     if seq[b : b + n] == w[a : a + n]:
                         hit |= set(range(b, b + n))
                         found.add(i)
-        return len(seq), len(hit), len(found), decontaminate.item_digest(list(found))
+        return len(seq), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(df, bench).collect()}
     for i, t in [*ODD, (20, text), (21, words(13, 6))]:
@@ -222,6 +222,19 @@ def brute_removal(rows, length=prefix_free.LENGTH):
     return sorted(out, key=repr)
 
 
+def test_automaton_of_many_words_is_small_and_items_may_be_strings(spark):
+    r = random.Random(5)
+    items = [(f"q{i}", [b"w%d" % r.randrange(3000) for _ in range(100)]) for i in range(1000)]
+    a = decontaminate.SuffixAutomaton(items)
+    arrays = sum(x.itemsize * len(x) for x in (a.link, a.length, a.word, a.target, a.whole))
+    assert arrays <= 20 * 2 * 100_000 and len(a.several) < len(a.link) / 10
+    runs, found = a.hits([b"x", *items[7][1][10:40], b"y", *items[8][1][:13]])
+    assert runs == [[1, 31], [32, 45]] and found == {"q7", "q8"}
+    bench = spark.createDataFrame([("b", BASE), ("a", BASE[:200]), (None, BASE), ("c", None)], "item_id string, text string")
+    got = decontaminate.match_benchmark(docs(spark, [(1, BASE)]), bench).first()
+    assert got.hit_items == ["a", "b"] or got.hit_items == ["b"]
+
+
 @pytest.mark.parametrize("hot", [512, 1])
 def test_removal_against_brute_force(spark, hot):
     r = random.Random(9)
