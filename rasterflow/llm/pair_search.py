@@ -368,20 +368,40 @@ def _rare(open_: DataFrame, items: DataFrame, content: Callable, rare: Callable,
     return kept
 
 
-def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, rare: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, places: bool = False) -> tuple[DataFrame, DataFrame]:
+def _runs(open_: DataFrame, items: DataFrame, content: Callable, runs: Callable, label: str) -> DataFrame:
+    """Buckets (sig, node) of the runs of elements, as runs(content, codes) names them, that several members of large buckets have."""
+    wanted = open_.groupBy("node").agg(F.collect_set("code").alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [runs(content(raw), codes) for raw, codes in zip(b.column("items").to_pylist(), b.column("codes").to_pylist(), strict=True)]
+            if b.num_rows:
+                node = np.repeat(b.column("node").to_numpy(), [len(g) for g in got])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(node)], names=["sig", "node"])
+
+    rows = materialize(items.join(wanted, "node").select("node", "items", "codes").mapInArrow(run, "sig long, node long"), f"{label}-every")
+    counts = materialize(rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-counts")
+    kept = materialize(rows.join(counts.select("sig"), "sig"), f"{label}-runs")
+    discard(rows, counts)
+    release(items.sparkSession)
+    return kept
+
+
+def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, rare: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, runs: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links. members: sig, node.
 
     First each node meets the pivot with which it shares most buckets. Then come the buckets whose members still lie in
     several components: pairs from different components in those of few members, and a pivot each in larger ones.
     Members of larger buckets are dealt anew by their rare elements (_rare). At last come all pairs of a bucket of few members
     or of a rare element that still lie in different components, so no link between components is lost.
-    places: members also have the place (code) of their signature, and are bare in a bucket while no verified range of theirs
+    runs (for ranges; else None): members also have the place (code) of their signature, and are bare in a bucket while no verified range of theirs
     holds it. Until the last round, pairs of which one is bare count like those of different components, so ranges are found
-    besides links: all in buckets of few members; in larger ones, the PARTNERS with which a member shares most rare elements.
+    besides links: all in buckets of few members; in larger ones, the PARTNERS with which a member shares the longest runs.
     sketch(content): counts that differ in no more than their contents do; pairs whose counts differ by more than
     most(size of one, size of the other), which limit is in SQL, can't be linked and are left out before contents are read.
     """
     tuned(docs.sparkSession)
+    places = runs is not None
     pivots = members.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("other")).where("b <> other").select("sig", "b")
     star = members.join(pivots, "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
     best = materialize(_once(star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).selectExpr("a", "m.b as b")), f"{label}-best")
@@ -393,7 +413,7 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
 
     sketches = _sketches(items, content, sketch, label) if sketch else None
 
-    def opened() -> DataFrame:
+    def opened(members: DataFrame) -> DataFrame:
         known = part.join(_spans(seen), "node", "left") if places else part
         bare = "not coalesce(exists(spans, s -> s.begin <= shiftright(code, 20) and shiftright(code, 20) + (code & 1048575) <= s.end), false)"
         code = F.col("code") if places else F.lit(0).cast("long").alias("code")
@@ -402,21 +422,25 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
         split = counted.where("n > 1 and (c0 <> c1 or any)").select("sig", "n")
         return materialize(placed.join(split, "sig"), f"{label}-open")
 
-    rare_rows = None
+    rare_rows = run_rows = table = None
     for turn in range(3 if places else 2):
         last = turn == (2 if places else 1)
-        open_ = table = opened()
+        # what is closed stays closed: components only grow, and so do verified ranges
+        old, table = table, opened(members if table is None else table.select("sig", "node", "code"))
+        discard(old)
+        open_ = table
         few, many = open_.where(F.col("n") <= FEW), open_.where(F.col("n") > FEW)
         of = open_.groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or("bare").alias("bare"))
         if sketch:
             few, many, of = (t.join(sketches.drop("sketch"), "node") for t in (few, many, of))
-        if turn and rare_rows is None:
+        if last:
             rare_rows = _rare(table.where(F.col("n") > FEW), items, content, rare, label)
         if last:
             few, dealt = (t.withColumn("bare", F.lit(False)) for t in (few, rare_rows.join(of, "node")))
             pairs = _pairs(few, few, limit).union(_pairs(dealt, dealt, limit))
         elif turn:
-            dealt = rare_rows.join(of, "node")
+            run_rows = _runs(table.where(F.col("n") > FEW), items, content, runs, label)
+            dealt = run_rows.join(of, "node")
             near = _pairs(dealt, _pivots(dealt, 2), ordered=False).groupBy("a", "b").agg(F.count("*").alias("n"))
             near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("rank") <= PARTNERS)
             pairs = _pairs(few, few).union(near.select("a", "b"))
@@ -428,7 +452,7 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
             pairs = first.union(_pairs(many, pivots, limit, ordered=False))
         known = seen.select("a", "b").union(seen.selectExpr("b as a", "a as b"))
         pairs = materialize(_once(pairs).join(known, ["a", "b"], "left_anti"), f"{label}-pairs")
-        discard(table)
+        discard(run_rows)
         release(docs.sparkSession)
         if sketch:
             pairs, old = materialize(_possible(pairs, sketches, most), f"{label}-possible"), pairs
@@ -439,7 +463,7 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
             seen = seen.unionByName(more)
             discard(part, pairs)
             part = components(seen.where("linked"), f"{label}-cc")
-    discard(rare_rows)
+    discard(rare_rows, table)
     discard(best, items, sketches)
     return seen, part
 
