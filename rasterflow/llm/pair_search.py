@@ -391,7 +391,7 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
     """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links. members: sig, node.
 
     First each node meets the pivot with which it shares most buckets. Then come the buckets whose members still lie in
-    several components: pairs from different components in those of few members, and a pivot each in larger ones.
+    several components: pairs from different components in those of few members, and a pivot (or several) each in larger ones.
     Members of larger buckets are dealt anew by their rare elements (_rare). At last come all pairs of a bucket of few members
     or of a rare element that still lie in different components, so no link between components is lost.
     runs (for ranges; else None): members also have the place (code) of their signature, and are bare in a bucket while no verified range of theirs
@@ -445,7 +445,8 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
             near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("rank") <= PARTNERS)
             pairs = _pairs(few, few).union(near.select("a", "b"))
         else:
-            pivots = _pivots(many, 1)
+            # sets have no ranges to cover, so members of a large bucket had better be of few components before the last round
+            pivots = _pivots(many, 1 if places else 8)
             if sketch:
                 pivots = pivots.join(sketches.drop("sketch"), "node")
             first = _pairs(few, _pivots(few, 1), ordered=False) if places else _pairs(few, few, limit)
