@@ -26,26 +26,32 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as ids in shards, read back; null texts have the end id only, repeated rows each their frame."""
     return token_output.token_output(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in every row of documents; null texts have no words, an empty benchmark hits nothing."""
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by four-word shingles at 85 %; texts without words stand alone."""
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from the labels of four folds; null and empty texts are scored as no features."""
     return preference_ranking.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document; null texts are empty and have none."""
     return secrets.secret_report(read(spark, sf_dir, "documents"), BYTE_BPE, PATTERN)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted, written and read back; null texts are empty, repeated rows are turns of their own."""
     probe = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -53,18 +59,22 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; null texts have no words and fail."""
     return quality_rules.quality_report(read(spark, sf_dir, "documents"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a near-duplicate passage, with ranges and component; null and short texts have none."""
     return compact_windows.near_passages(read(spark, sf_dir, "documents"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated 400-byte strings leave of every document; null texts are empty, repeated rows remove each other."""
     return prefix_free.removal_report(read(spark, sf_dir, "documents"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every document's pieces; null texts have none."""
     return sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), PIECES)
 
 
