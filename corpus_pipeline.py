@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder before the next reads it."""
+    """All stages over `documents`, each written to the shared folder before the next reads it.
+
+    Null and empty texts go with the quality rules; of rows that are equal one stays; rows of one doc_id with unlike texts are
+    documents of their own; an empty table gives an empty result; further columns come along up to the last stage.
+    """
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
