@@ -233,20 +233,82 @@ def verified(pairs: DataFrame, items: DataFrame, content: Callable, check: Calla
     per = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_PAIRS).alias("parts")), f"{label}-pivots")
     members = pairs.join(per, "b").select("b", F.col("a").alias("node"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.lit(1).alias("role"))
     pivots = per.select("b", F.col("b").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    # contents go once with every pair: in as many waves as keep what is on disk at once to a few times the contents
+    out = _in_waves(members.unionByName(pivots), items, run, label)
+    discard(per)
+    return out
+
+
+def _in_waves(rows: DataFrame, items: DataFrame, run: Callable, label: str) -> DataFrame:
+    """run over rows (b, part, role, node, ...) with the nodes' items, together by b and part and ordered by role and node.
+
+    Contents go once with every row of role 1: in as many waves as keep what is on disk at once to a few times the contents.
+    """
     lengths = items.select("node", F.length("items").alias("bytes"))
-    sent = members.groupBy("node").agg(F.count("*").alias("n")).join(lengths, "node").agg(F.sum(F.col("n") * F.col("bytes"))).first()[0] or 0
+    sent = rows.where("role = 1").groupBy("node").agg(F.count("*").alias("n")).join(lengths, "node").agg(F.sum(F.col("n") * F.col("bytes"))).first()[0] or 0
     held = lengths.agg(F.sum("bytes")).first()[0] or 1
     waves = max(1, int(-(-sent // (WAVE_SHARE * held))))
-    rows = members.unionByName(pivots).withColumn("wave", F.pmod(F.xxhash64("b", "part"), F.lit(waves)))
+    rows = rows.withColumn("wave", F.pmod(F.xxhash64("b", "part"), F.lit(waves)))
     span = "array<struct<begin:long,end:long>>"
     out = None
     for wave in range(waves):
         dealt = items.join(rows.where(F.col("wave") == wave), "node").repartition("b", "part").sortWithinPartitions("b", "part", "role", "node")
-        done = materialize(dealt.select("b", "role", "node", "items").mapInArrow(run, f"a long, b long, linked boolean, xs {span}, ys {span}"), f"{label}-verified")
+        done = materialize(dealt.drop("part", "wave").mapInArrow(run, f"a long, b long, linked boolean, xs {span}, ys {span}"), f"{label}-verified")
         out = done if out is None else out.unionByName(done)
-        release(pairs.sparkSession)
-    discard(per)
+        release(items.sparkSession)
+    return out
+
+
+#: Members and bytes of a block that contents are sifted through at once: bound a worker's memory.
+BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
+
+
+def _sifted(dealt: DataFrame, items: DataFrame, content: Callable, check: Callable, sieve: Callable, label: str) -> DataFrame:
+    """Linked pairs (a, b, linked, xs, ys) among the members (sig, node, comp) of each bucket that lie in different components.
+
+    Members that are alike lie in one block. Those outside a bucket's largest component are asked against the blocks of all
+    its members, so each such pair is asked at least once, and a group of many near copies brings a row for each
+    block and not for each pair. sieve(contents) gives a function of a content: the numbers of those that it may link with.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, members, ask = None, [], None
+        for batch in batches:
+            out = []
+            columns = (batch.column(n).to_pylist() for n in ("b", "role", "node", "comp", "items"))
+            for b, role, node, comp, raw in zip(*columns, strict=True):
+                if b != block or (role == 0 and ask):
+                    block, members, ask = b, [], None
+                if role == 0:
+                    members.append((node, comp, content(raw)))
+                    continue
+                if not members:
+                    continue
+                ask = ask or sieve([c for _, _, c in members])
+                x = content(raw)
+                for k in ask(x).tolist():
+                    other, its, y = members[k]
+                    if its != comp:
+                        linked, xs, ys = check(x, y)
+                        if linked:
+                            out.append((node, other, linked, xs, ys))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            types = (pa.int64(), pa.int64(), pa.bool_(), _SPAN, _SPAN)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "b", "linked", "xs", "ys"])
+
+    sizes = dealt.groupBy("sig", "comp").agg(F.count("*").alias("n"))
+    lead = sizes.groupBy("sig").agg(F.max(F.struct("n", "comp"))["comp"].alias("lead"), F.count("*").alias("comps")).where("comps > 1").select("sig", "lead")
+    dealt = materialize(dealt.join(lead, "sig"), f"{label}-split")
+    near = dealt.groupBy("node", "comp").agg(F.min(F.xxhash64("sig")).alias("near")).join(items.select("node", F.length("items").alias("bytes")), "node")
+    parts = near.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    blocks = materialize(near.join(parts, "near").select("node", "comp", F.xxhash64("near", F.pmod(F.xxhash64("node"), "blocks")).alias("b")), f"{label}-blocks")
+    held = dealt.join(blocks.select("node", "b"), "node").groupBy("sig", "b").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    asking = dealt.where("comp <> lead").select("sig", "node", "comp")
+    asks = materialize(asking.join(held, "sig").where("c0 <> comp or c1 <> comp").select("b", "node", "comp").distinct(), f"{label}-asks")
+    per = materialize(asks.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts")), f"{label}-asked")
+    one = asks.join(per, "b").select("b", "node", "comp", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(1).alias("role"))
+    others = blocks.join(per, "b").select("b", "node", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    out = _in_waves(one.unionByName(others), items, run, f"{label}-sifted")
+    discard(dealt, blocks, asks, per)
     return out
 
 
@@ -387,7 +449,7 @@ def _runs(open_: DataFrame, items: DataFrame, content: Callable, runs: Callable,
     return kept
 
 
-def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, rare: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, runs: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: Callable, name: Callable, check: Callable, rare: Callable, label: str, sketch: Callable | None = None, most: Callable | None = None, limit: str | None = None, runs: Callable | None = None, sieve: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, linked, xs, ys) and the components (node, comp) of nodes with links. members: sig, node.
 
     First each node meets the pivot with which it shares most buckets. Then come the buckets whose members still lie in
@@ -397,6 +459,7 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
     runs (for ranges; else None): members also have the place (code) of their signature, and are bare in a bucket while no verified range of theirs
     holds it. Until the last round, pairs of which one is bare count like those of different components, so ranges are found
     besides links: all in buckets of few members; in larger ones, the PARTNERS with which a member shares the longest runs.
+    sieve (with runs): the last round of large buckets goes through blocks (_sifted) instead of pairs.
     sketch(content): counts that differ in no more than their contents do; pairs whose counts differ by more than
     most(size of one, size of the other), which limit is in SQL, can't be linked and are left out before contents are read.
     """
@@ -437,7 +500,9 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
             rare_rows = _rare(table.where(F.col("n") > FEW), items, content, rare, label)
         if last:
             few, dealt = (t.withColumn("bare", F.lit(False)) for t in (few, rare_rows.join(of, "node")))
-            pairs = _pairs(few, few, limit).union(_pairs(dealt, dealt, limit))
+            pairs = _pairs(few, few, limit)
+            if not sieve:
+                pairs = pairs.union(_pairs(dealt, dealt, limit))
         elif turn:
             run_rows = _runs(table.where(F.col("n") > FEW), items, content, runs, label)
             dealt = run_rows.join(of, "node")
@@ -459,9 +524,13 @@ def search(docs: DataFrame, documents: DataFrame, members: DataFrame, content: C
             pairs, old = materialize(_possible(pairs, sketches, most), f"{label}-possible"), pairs
             discard(old)
             release(docs.sparkSession)
-        if pairs.limit(1).count():
-            more = verified(pairs, items, content, check, f"{label}-more")
-            seen = seen.unionByName(more)
+        some = pairs.limit(1).count() > 0
+        if some:
+            seen = seen.unionByName(verified(pairs, items, content, check, f"{label}-more"))
+        if last and sieve:
+            seen = seen.unionByName(_sifted(dealt.select("sig", "node", "comp"), items, content, check, sieve, label))
+            some = True
+        if some:
             discard(part, pairs)
             part = components(seen.where("linked"), f"{label}-cc")
     discard(rare_rows, table)
