@@ -265,9 +265,9 @@ BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
 def _sifted(dealt: DataFrame, items: DataFrame, content: Callable, check: Callable, sieve: Callable, label: str) -> DataFrame:
     """Linked pairs (a, b, linked, xs, ys) among the members (sig, node, comp) of each bucket that lie in different components.
 
-    Members that are alike lie in one block. Those outside a bucket's largest component are asked against the blocks of all
-    its members, so each such pair is asked at least once, and a group of many near copies brings a row for each
-    block and not for each pair. sieve(contents) gives a function of a content: the numbers of those that it may link with.
+    Members that are alike lie in one block. Blocks with members outside a bucket's largest component meet the blocks of all
+    its members, and those members are asked against what their blocks meet: each such pair is asked at least once, and a
+    group of many near copies brings rows for blocks and not for pairs. sieve(contents) gives a function of a content: the numbers of those that it may link with.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +301,13 @@ def _sifted(dealt: DataFrame, items: DataFrame, content: Callable, check: Callab
     near = dealt.groupBy("node", "comp").agg(F.min(F.xxhash64("sig")).alias("near")).join(items.select("node", F.length("items").alias("bytes")), "node")
     parts = near.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
     blocks = materialize(near.join(parts, "near").select("node", "comp", F.xxhash64("near", F.pmod(F.xxhash64("node"), "blocks")).alias("b")), f"{label}-blocks")
-    held = dealt.join(blocks.select("node", "b"), "node").groupBy("sig", "b").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    asking = dealt.where("comp <> lead").select("sig", "node", "comp")
-    asks = materialize(asking.join(held, "sig").where("c0 <> comp or c1 <> comp").select("b", "node", "comp").distinct(), f"{label}-asks")
+    placed = dealt.join(blocks.select("node", "b"), "node")
+    held = placed.groupBy("sig", "b").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    outside = placed.where("comp <> lead")
+    asking = outside.groupBy("sig", F.col("b").alias("of")).agg(F.min("comp").alias("a0"), F.max("comp").alias("a1"))
+    met = materialize(asking.join(held, "sig").where("a0 <> a1 or c0 <> c1 or a0 <> c0").select("of", "b").distinct(), f"{label}-met")
+    asks = materialize(outside.select(F.col("b").alias("of"), "node", "comp").distinct().join(met, "of").select("b", "node", "comp"), f"{label}-asks")
+    discard(met)
     per = materialize(asks.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts")), f"{label}-asked")
     one = asks.join(per, "b").select("b", "node", "comp", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(1).alias("role"))
     others = blocks.join(per, "b").select("b", "node", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
