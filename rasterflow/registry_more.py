@@ -209,8 +209,7 @@ def layer_bindings(spark, sf_dir):
     layers = part.select(F.col("p_size").alias("document"), F.col("p_partkey").alias("layer"), F.col("p_type").alias("name"))
     third = F.col("p_partkey") % 3 == 0
     asked = part.select("p_partkey", F.col("p_size").alias("document"), F.when(third, F.col("p_partkey") + 100000).otherwise(F.col("p_partkey")).alias("id"), F.when(F.col("p_partkey") % 5 == 0, None).otherwise(F.col("p_type")).alias("name"))
-    got = documents.resolve_bindings(layers, asked.drop("p_partkey"))
-    return got.select(F.when(F.col("id") >= 100000, F.col("id") - 100000).otherwise(F.col("id")).alias("p_partkey"), "layer")
+    return documents.resolve_bindings(layers, asked).select("p_partkey", "layer")
 
 
 def _mix(state: str, words: list[str], table: str, name: str) -> tuple[str, str]:

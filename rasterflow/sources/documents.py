@@ -102,10 +102,11 @@ class DocumentStore:
 def resolve_bindings(layers: DataFrame, bindings: DataFrame) -> DataFrame:
     """bindings (document, id, name) with layer: the one of that id if its name fits or none is asked for, else the only one of the name.
 
-    layers: document, layer, name of every layer at any depth. Null where nothing fits or a name is ambiguous.
+    layers: document, layer, name of every layer at any depth. Null where nothing fits or a name is ambiguous. Other columns
+    of bindings stay.
     """
     by_id = layers.select("document", F.col("layer").alias("id"), F.col("name").alias("_found"), F.col("layer").alias("_by_id"))
     by_name = layers.groupBy("document", "name").agg(F.count("*").alias("_n"), F.min("layer").alias("_by_name"))
     out = bindings.join(by_id, ["document", "id"], "left").join(by_name, ["document", "name"], "left")
     exact = F.col("_by_id").isNotNull() & (F.col("name").isNull() | (F.col("_found") == F.col("name")))
-    return out.select("document", "id", "name", F.when(exact, F.col("_by_id")).when(F.col("_n") == 1, F.col("_by_name")).alias("layer"))
+    return out.select(*bindings.columns, F.when(exact, F.col("_by_id")).when(F.col("_n") == 1, F.col("_by_name")).alias("layer"))
